@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_table, token_counts
+from . import minhash, sentencepiece_table, token_counts
 
 QUERIES = {
+    "op9_minhash": minhash.op9,
     "op5_token_counts": token_counts.op5,
     "op10_sentencepiece": sentencepiece_table.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_minhash": minhash.SQL9}

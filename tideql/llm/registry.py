@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import minhash, sentencepiece_table, token_counts
+from . import minhash, sentencepiece_table, suffix_array, token_counts
 
 QUERIES = {
+    "op3_suffix_array": suffix_array.op3,
     "op9_minhash": minhash.op9,
     "op5_token_counts": token_counts.op5,
     "op10_sentencepiece": sentencepiece_table.op10,

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import minhash, sentencepiece_table, suffix_array, token_counts
+from . import decontaminate, licenses, minhash, sentencepiece_table, suffix_array, token_counts
 
 QUERIES = {
     "op3_suffix_array": suffix_array.op3,
-    "op9_minhash": minhash.op9,
     "op5_token_counts": token_counts.op5,
+    "op7_license_scan": licenses.op7,
+    "op8_decontaminate": decontaminate.op8,
+    "op9_minhash": minhash.op9,
     "op10_sentencepiece": sentencepiece_table.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash": minhash.SQL9}
+ORACLE_SQL: dict[str, str] = {
+    "op7_license_scan": licenses.SQL7,
+    "op8_decontaminate": decontaminate.SQL8,
+    "op9_minhash": minhash.SQL9,
+}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, minhash, sentencepiece_table, suffix_array, token_counts
+from . import decontaminate, licenses, minhash, quality_rules, sentencepiece_table, suffix_array, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
     "op3_suffix_array": suffix_array.op3,
     "op5_token_counts": token_counts.op5,
     "op7_license_scan": licenses.op7,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, minhash, quality_rules, sentencepiece_table, suffix_array, token_counts
+from . import decontaminate, language, licenses, minhash, quality_mil, quality_rules, sentencepiece_table, suffix_array, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "op2_quality_mil": quality_mil.op2,
     "op3_suffix_array": suffix_array.op3,
+    "op4_language": language.op4,
     "op5_token_counts": token_counts.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_license_scan": licenses.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_minhash": minhash.op9,

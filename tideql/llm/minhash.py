@@ -7,10 +7,11 @@ With m = 16 and t = 3 a pair at similarity 0.8 is missed with probability 2e-5.
 
 Documents with equal sets are one class and go on as its smallest id.  A sub-hash
 that only one class has cannot pair with anything, so keys are formed from shared
-sub-hashes alone.  In a bucket, every member is compared with the smallest one;
-only buckets that still hold members of different components go on, with more
-centres each round, until every pair across components has been compared.  So a
-bucket of n copies costs n comparisons, and no pair within a bucket is lost.
+sub-hashes alone.  In a bucket every member is compared with one centre, on full
+sets; what differs from the centre then decides exactly which members can be
+linked with each other though not both are with the centre (see ``_rest``).  So a
+bucket costs a comparison a member, no pair within a bucket is lost, and pairs of
+members that are in one component anyway are never formed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import text as T
 from .components import components
@@ -95,17 +95,52 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, s array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; a table."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, c): a's set less c's (more), c's less a's (less), both sizes, and whether they are linked; a table."""
+    ids = pairs.select("a").union(pairs.select("c")).distinct().toDF("id")
     sets = scratch.table(_sets(docs.join(ids, "id", "left_semi"), k))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    out = scratch.table(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct())
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("c", "sc"), "c")
+    both = both.select("a", "c", F.size("sa").alias("n"), F.size("sc").alias("nc"), F.array_except("sa", "sc").alias("more"), F.array_except("sc", "sa").alias("less"))
+    union = F.col("nc") + F.size("more")
+    out = scratch.table(both.withColumn("linked", 100 * (F.col("n") - F.size("more")) >= percent * union).dropDuplicates(["a", "c"]))
     scratch.drop(sets)
     return out
 
 
+def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, c) between members of a bucket of which one at least is not linked with the centre; a table.
+
+    Against a centre with n shingles, let a member miss d of them and have m others, at a cost of
+    100 d + percent m.  Two members that share s of these differences are similar enough exactly if
+    their costs together are (100 - percent) n + (100 + percent) s at most.  A member that is not
+    linked with the centre costs over (100 - percent) n alone, so its partner must share differences
+    worth the partner's whole cost: members are joined on the prefixes of their differences that
+    such a share cannot miss, and the share is then counted in full.
+    """
+    groups = compared.groupBy("c").agg(F.count("*").alias("g"), F.count_if(~F.col("linked")).alias("r")).filter("g > 1 and r > 0").select("c")
+    d = F.concat(F.array_sort("more"), F.array_sort("less"))
+    members = compared.join(groups, "c").select("c", "a", "n", "linked", d.alias("d"), (100 * F.size("less") + percent * F.size("more")).alias("cost"), ((100 - percent) * F.col("nc")).alias("free"))
+    members = scratch.table(members)
+    least = lambda cost: F.greatest(F.lit(1), F.ceil(cost / (100 + percent)).cast("int"))
+
+    def prefixes(rows: DataFrame, need) -> DataFrame:
+        rows = rows.withColumn("o", need).filter(F.col("o") <= F.size("d"))
+        return rows.select("c", "a", "n", "linked", "cost", "free", F.size("d").alias("size"), F.explode(F.slice("d", 1, F.size("d") - F.col("o") + 1)).alias("x"))
+
+    apart = prefixes(members.filter("not linked"), least(F.col("cost") - F.col("free"))).alias("p")
+    others = prefixes(members, least(F.col("cost"))).alias("q")
+    p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+    may = (p("a") != q("a")) & (q("linked") | (p("a") < q("a"))) & (100 * F.least(p("n"), q("n")) >= percent * F.greatest(p("n"), q("n"))) & (p("cost") + q("cost") <= p("free") + (100 + percent) * F.least(p("size"), q("size")))
+    pairs = apart.join(others, (p("c") == q("c")) & (p("x") == q("x"))).filter(may).select(p("c").alias("c"), p("a").alias("a"), q("a").alias("b")).distinct()
+    own = members.select("c", "a", F.col("d").alias("da"), F.col("cost").alias("ca"), "free")
+    other = members.select("c", F.col("a").alias("b"), F.col("d").alias("db"), F.col("cost").alias("cb"))
+    share = F.size(F.array_intersect("da", "db"))
+    found = pairs.join(own, ["c", "a"]).join(other, ["c", "b"]).filter(F.col("ca") + F.col("cb") <= F.col("free") + (100 + percent) * share)
+    out = scratch.table(found.select("a", F.col("b").alias("c")).distinct())
+    scratch.drop(members)
+    return out
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, m: int = 16, t: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``df``.
 
@@ -114,8 +149,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     linked: its component is null and it is kept.  Rows that repeat an id with the same text are
     one document, returned as often as given; columns of other names are not looked at.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     sig = scratch.table(signatures(docs, k, m, t))
     live = sig.filter("n > 0 and id is not null")
@@ -123,38 +157,22 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     classes = live.groupBy(*prints).agg(F.min("id").alias("rep"))
     member = scratch.table(live.join(classes, prints).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("h")).alias("h")))
 
-    sub = member.filter("h is not null").dropDuplicates(["id"]).select("id", "n", F.posexplode("h").alias("p", "x"))
-    shared = sub.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("x")
-    parts = sub.join(shared, "x").groupBy("id", "n").agg(F.collect_list(F.struct("p", "x")).alias("l"))
+    sub = member.filter("h is not null").dropDuplicates(["id"]).select("id", F.posexplode("h").alias("p", "x"))
+    shared = sub.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("x", "of")
+    parts = sub.join(shared, "x").groupBy("id").agg(F.collect_list(F.struct("p", "x")).alias("l"), F.sum("of").alias("score"))
     side = lambda low: F.transform(F.filter("l", lambda e: (e["p"] < m) == F.lit(low)), lambda e: e["x"])
-    keys = scratch.table(parts.select("id", "n", side(True).alias("a"), side(False).alias("b")).select("id", "n", F.explode("a").alias("a"), "b").select("id", "n", "a", F.explode("b").alias("b")).select("id", "n", F.xxhash64("a", "b").alias("key")))
-
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("last")).filter("c.id < last").select("key", "c")
-    tested = scratch.table(keys.join(first, "key").filter((F.col("id") > F.col("c.id")) & close(F.col("n"), F.col("c.n"))).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct())
-    links = [_confirmed(tested, docs, k, percent, scratch)]
-    done, centres = [tested], 1
-    while True:
-        found = links[0]
-        for x in links[1:]:
-            found = found.union(x)
-        roots = components(found, scratch)
-        label = F.coalesce("v", "id").alias("label")
-        open_ = keys.join(roots, F.col("id") == F.col("u"), "left").select("key", "id", "n", label)
-        mixed = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("c") > centres + 1).filter("lo < hi").select("key")
-        rest = scratch.table(open_.join(mixed, "key"))
-        if rest.isEmpty():
-            break
-        centres *= 16
-        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        heads = ranked.filter(F.col("r") <= centres).select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        pairs = rest.join(heads, "key").filter((F.col("label") != F.col("cl")) & close(F.col("n"), F.col("cn"))).select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-        for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        done.append(scratch.table(pairs))
-        scratch.drop(rest)
-        links.append(_confirmed(done[-1], docs, k, percent, scratch))
+    # The centre of a bucket is the member whose sub-hashes most documents have: what the copies were made of, or close to it.
+    rank = F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    parts = parts.select("id", rank.alias("rank"), side(True).alias("a"), side(False).alias("b")).filter("size(a) > 0 and size(b) > 0")
+    keys = scratch.table(parts.select("id", "rank", F.explode("a").alias("a"), "b").select("id", "rank", "a", F.explode("b").alias("b")).select("id", "rank", F.xxhash64("a", "b").alias("key")))
+    heads = keys.groupBy("key").agg(F.max_by("id", "rank").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "c")
+    pairs = scratch.table(keys.join(heads, "key").filter("id <> c").select(F.col("id").alias("a"), "c").distinct())
     scratch.drop(keys)
+
+    compared = _compared(pairs, docs, k, percent, scratch)
+    links = scratch.table(compared.filter("linked").select("a", "c").union(_rest(compared, percent, scratch)))
+    scratch.drop(pairs, compared)
+    roots = components(links, scratch)
     linked = member.join(roots, F.col("rep") == F.col("u"), "left").select("id", "n", F.coalesce("v", "rep").alias("c"))
     alone = sig.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
     return linked.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))

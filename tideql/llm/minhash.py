@@ -108,7 +108,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
 
 
 def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, c) between members of a bucket of which one at least is not linked with the centre; a table.
+    """Links (a, c) with the centres, and those between other members of a bucket that join components; a table.
 
     Against a centre with n shingles, let a member miss d of them and have m others, at a cost of
     100 d + percent m.  Two members that share s of these differences are similar enough exactly if
@@ -118,25 +118,37 @@ def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     such a share cannot miss, and the share is then counted in full.
     """
     groups = compared.groupBy("c").agg(F.count("*").alias("g"), F.count_if(~F.col("linked")).alias("r")).filter("g > 1 and r > 0").select("c")
-    d = F.concat(F.array_sort("more"), F.array_sort("less"))
-    members = compared.join(groups, "c").select("c", "a", "n", "linked", d.alias("d"), (100 * F.size("less") + percent * F.size("more")).alias("cost"), ((100 - percent) * F.col("nc")).alias("free"))
-    members = scratch.table(members)
-    least = lambda cost: F.greatest(F.lit(1), F.ceil(cost / (100 + percent)).cast("int"))
-
-    def prefixes(rows: DataFrame, need) -> DataFrame:
-        rows = rows.withColumn("o", need).filter(F.col("o") <= F.size("d"))
-        return rows.select("c", "a", "n", "linked", "cost", "free", F.size("d").alias("size"), F.explode(F.slice("d", 1, F.size("d") - F.col("o") + 1)).alias("x"))
-
-    apart = prefixes(members.filter("not linked"), least(F.col("cost") - F.col("free"))).alias("p")
-    others = prefixes(members, least(F.col("cost"))).alias("q")
+    known = compared.filter("linked").select("a", "c")
+    roots = components(known, scratch)
+    cost, free = 100 * F.size("less") + percent * F.size("more"), (100 - percent) * F.col("nc")
+    # Two members that are both nearest to one centre are looked at in that centre's buckets alone.
+    nearest = compared.groupBy("a").agg(F.min_by("c", cost / free).alias("main"))
+    members = compared.join(groups, "c").join(nearest, "a").join(roots, F.col("a") == F.col("u"), "left")
+    members = members.select("c", "a", "n", "linked", "more", "less", "main", cost.alias("cost"), free.alias("free"), F.coalesce("v", "a").alias("root"))
+    members = scratch.table(members.withColumn("u", F.floor(4 * F.col("cost") / F.col("free")).cast("int")))
+    # By classes of cost, a quarter of the free cost wide, the share that two members need is known well enough for short prefixes.
+    kinds = members.groupBy("c", "u").agg(F.max(~F.col("linked")).alias("apart"))
+
+    def prefixes(rows: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.withColumnRenamed("u", own).join(others.select("c", F.col("u").alias(other)), "c")
+        need = F.greatest(F.lit(1), F.ceil(F.col("free") * (F.col(own) + F.col(other) - 4) / (4 * (100 + percent))).cast("int"))
+        rows = rows.withColumn("o", need).filter(F.col("o") <= F.size("more") + F.size("less"))
+        # They share one of what they have more, at least what they can't share of what they miss; or only of what they miss.
+        first = lambda d, o: F.slice(F.array_sort(d), 1, F.greatest(F.lit(0), F.size(d) - o + 1))
+        tokens = F.concat(first("more", F.greatest(F.lit(1), F.col("o") - F.size("less"))), first("less", F.col("o")))
+        return rows.select("c", "a", "n", "linked", "cost", "free", "up", "uq", "root", "main", (F.size("more") + F.size("less")).alias("size"), F.explode(tokens).alias("x"))
+
+    apart = prefixes(members.filter("not linked"), kinds, "up", "uq").alias("p")
+    others = prefixes(members, kinds.filter("apart"), "uq", "up").alias("q")
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    may = (p("a") != q("a")) & (q("linked") | (p("a") < q("a"))) & (100 * F.least(p("n"), q("n")) >= percent * F.greatest(p("n"), q("n"))) & (p("cost") + q("cost") <= p("free") + (100 + percent) * F.least(p("size"), q("size")))
-    pairs = apart.join(others, (p("c") == q("c")) & (p("x") == q("x"))).filter(may).select(p("c").alias("c"), p("a").alias("a"), q("a").alias("b")).distinct()
-    own = members.select("c", "a", F.col("d").alias("da"), F.col("cost").alias("ca"), "free")
-    other = members.select("c", F.col("a").alias("b"), F.col("d").alias("db"), F.col("cost").alias("cb"))
+    may = (p("root") != q("root")) & ((p("main") != q("main")) | (p("main") == p("c"))) & (q("linked") | (p("a") < q("a"))) & (100 * F.least(p("n"), q("n")) >= percent * F.greatest(p("n"), q("n"))) & (p("cost") + q("cost") <= p("free") + (100 + percent) * F.least(p("size"), q("size")))
+    same = (p("c") == q("c")) & (p("x") == q("x")) & (p("up") == q("up")) & (p("uq") == q("uq"))
+    pairs = apart.join(others, same).filter(may).select(p("c").alias("c"), p("a").alias("a"), q("a").alias("b")).distinct()
+    own = members.select("c", "a", F.concat("more", "less").alias("da"), F.col("cost").alias("ca"), "free")
+    other = members.select("c", F.col("a").alias("b"), F.concat("more", "less").alias("db"), F.col("cost").alias("cb"))
     share = F.size(F.array_intersect("da", "db"))
     found = pairs.join(own, ["c", "a"]).join(other, ["c", "b"]).filter(F.col("ca") + F.col("cb") <= F.col("free") + (100 + percent) * share)
-    out = scratch.table(found.select("a", F.col("b").alias("c")).distinct())
+    out = scratch.table(known.union(found.select("a", F.col("b").alias("c"))).distinct())
     scratch.drop(members)
     return out
 
@@ -170,7 +182,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     scratch.drop(keys)
 
     compared = _compared(pairs, docs, k, percent, scratch)
-    links = scratch.table(compared.filter("linked").select("a", "c").union(_rest(compared, percent, scratch)))
+    links = _rest(compared, percent, scratch)
     scratch.drop(pairs, compared)
     roots = components(links, scratch)
     linked = member.join(roots, F.col("rep") == F.col("u"), "left").select("id", "n", F.coalesce("v", "rep").alias("c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -48,6 +49,7 @@ class Engine:
         self.definitions: dict[str, t.Definition] = {}
         self.frames: dict[str, tuple[str, DataFrame]] = {}
         self.rules: dict[str, Rule] = {}
+        self.lazy: dict[str, Callable[[], Engine]] = {}
 
     # --- definitions
 
@@ -57,8 +59,15 @@ class Engine:
         self.frames[name.lower()] = (kind, readers.retained(df, retain) if retain else df)
         return self
 
+    def attach(self, name: str, open_: Callable[[], DataFrame], time: str | None = None, kind: str = "stream") -> Engine:
+        """As ``register``, for a DataFrame that is made when a rule first names it."""
+        self.lazy[name.lower()] = lambda: self.register(name, open_(), time, kind)
+        return self
+
     def source(self, name: str, streaming: bool = False) -> tuple[str, DataFrame]:
         key = name.lower()
+        if key in self.lazy:
+            self.lazy.pop(key)()
         if key in self.frames:
             return self.frames[key]
         if key not in self.definitions:

@@ -32,8 +32,11 @@ AGGREGATES["inc_sum"] = lambda call, x: F.sum(x.cast("double"))
 
 
 def ordered(call, x):
-    """All values in time order, nulls too."""
-    rows = F.array_sort(F.collect_list(F.struct(call.time.alias("t"), F.struct(x.alias("v")).alias("s"))))
+    """All values in time order, nulls too; at one time, in the order of their texts."""
+    kept = F.struct(x.alias("v"))
+    rows = F.collect_list(F.struct(call.time.alias("t"), F.to_json(kept).alias("j"), kept.alias("s")))
+    earlier = lambda a, b: (a["t"] < b["t"]) | ((a["t"] == b["t"]) & (a["j"] < b["j"]))
+    rows = F.array_sort(rows, lambda a, b: F.when(earlier(a, b), -1).when(earlier(b, a), 1).otherwise(0))
     return F.transform(rows, lambda r: r["s"]["v"])
 
 

@@ -1,76 +1,156 @@
 """Functions whose value depends on earlier rows: lag, latest, changes, running totals.
 
-Each is a composition of window functions, partitioned by the keys of OVER(PARTITION BY);
-without keys a stream has one order and so one partition, as its definition has it.
+A stream has one order, and a key of OVER(PARTITION BY) may hold most of its rows, so no
+window spans all rows of either.  Rows are dealt by key and time bucket; a window function
+runs within a bucket, a summary of one row for each bucket is carried forward over the
+buckets before, and both are put together.  All calls of a rule with the same keys share
+one pass; both sides of its join are dealt alike, so it adds no shuffle of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+TIME = "_ts"
+BUCKET_MS = 60_000
 BEFORE, SO_FAR = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
 
 
+@dataclass
+class Asked:
+    """A column that needs earlier rows: within a bucket, of a whole bucket, over earlier buckets, and of both."""
+
+    name: str
+    local: Callable[[WindowSpec], Column]
+    summary: Column
+    carried: Callable[[Column, WindowSpec], Column]
+    both: Callable[[Column, Column], Column]
+
+
 class History:
-    """Adds columns to a DataFrame that is ordered by ``order`` within ``keys``."""
+    """Adds columns to a DataFrame with a time; ``order`` is the order of rows within a key.
 
-    def __init__(self, df: DataFrame, order: list[Column]):
-        self.df, self.order, self.n = df, order, 0
+    The methods return a column's name; its values are there after ``flush``.
+    """
 
-    def _window(self, keys):
-        return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*self.order)
+    def __init__(self, df: DataFrame, order: list[Column], bucket_ms: int = BUCKET_MS):
+        self.df, self.order, self.n = df.withColumn("_b", F.floor(F.unix_millis(TIME) / bucket_ms)), order, 0
+        self.asked: dict[str, tuple[list[Column], list[Asked]]] = {}
+        self.after: list[tuple[str, Callable[[], Column]]] = []
 
-    def add(self, c: Column) -> Column:
+    def _name(self) -> str:
         self.n += 1
-        name = f"_h{self.n}"
+        return f"_h{self.n}"
+
+    def add(self, c: Column) -> Column:
+        name = self._name()
         self.df = self.df.withColumn(name, c)
         return F.col(name)
 
+    def then(self, make: Callable[[], Column]) -> str:
+        name = self._name()
+        self.after.append((name, make))
+        return name
+
+    def _ask(self, keys, local, summary, carried, both) -> str:
+        name, group = self._name(), str(list(keys))
+        self.asked.setdefault(group, (list(keys), []))[1].append(Asked(name, local, summary, carried, both))
+        return name
+
+    def flush(self) -> None:
+        for keys, asked in self.asked.values():
+            df, by = self.df, ["_b"]
+            if keys:  # a struct is never null, its parts may be
+                df, by = df.withColumn("_k", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])), ["_k", "_b"]
+            inside = Window.partitionBy(*by).orderBy(*self.order)
+            line = Window.partitionBy(*by[:-1]).orderBy("_b")
+            sums = df.groupBy(*by).agg(*[a.summary.alias(f"{a.name}s") for a in asked])
+            sums = sums.select(*by, *[a.carried(F.col(f"{a.name}s"), line).alias(f"{a.name}c") for a in asked])
+            df = df.withColumns({f"{a.name}l": a.local(inside) for a in asked}).join(sums, by)
+            df = df.withColumns({a.name: a.both(F.col(f"{a.name}l"), F.col(f"{a.name}c")) for a in asked})
+            self.df = df.drop("_k", *[f"{a.name}{x}" for a in asked for x in "lc"])
+        self.asked = {}
+        for name, make in self.after:
+            self.df = self.df.withColumn(name, make())
+        self.after = []
+
+    # --- parts
+
     def accepted(self, value: Column, when: Column | None, skip_null: bool) -> Column:
         ok = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
         return self.add(ok & value.isNotNull() if skip_null else ok)
 
-    def previous(self, value: Column, ok: Column, keys, rows=BEFORE) -> Column:
+    def previous(self, value: Column, ok: Column, keys, rows=BEFORE) -> str:
         """A struct of the last accepted value, so that null is a value too."""
-        return F.last(F.when(ok, F.struct(value.alias("v"))), ignorenulls=True).over(self._window(keys).rowsBetween(*rows))
+        kept = F.struct(value.alias("v"))
+        return self._ask(
+            keys,
+            lambda w: F.last(F.when(ok, kept), ignorenulls=True).over(w.rowsBetween(*rows)),
+            F.max_by(kept, F.when(ok, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)]))),
+            lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(*BEFORE)),
+            F.coalesce,
+        )
+
+    def running(self, kind: str, value: Column, keys, rows=SO_FAR) -> str:
+        """A running sum, count, maximum or minimum; null before the first value, a count 0."""
+        f = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
+        again = F.sum if kind == "count" else f
+        both = {"max": F.greatest, "min": F.least}.get(kind, lambda a, b: F.coalesce(a + b, a, b))
+        return self._ask(keys, lambda w: f(value).over(w.rowsBetween(*rows)), f(value), lambda c, w: again(c).over(w.rowsBetween(*BEFORE)), both)
+
+    # --- functions
 
-    def lag(self, value, offset=1, default=None, skip_null=True, keys=(), when=None) -> Column:
+    def lag(self, value, offset=1, default=None, skip_null=True, keys=(), when=None) -> str:
+        """The value accepted ``offset`` accepted rows ago."""
         ok = self.accepted(value, when, skip_null)
         value = self.add(value)
-        if offset > 1:  # among accepted rows, the one offset - 1 before
-            earlier = F.lag(F.struct(value.alias("v")), offset - 1).over(self._window([*keys, ok]))
-            earlier = self.add(earlier)
-            head = F.last(F.when(ok, F.struct(earlier.alias("e"))), ignorenulls=True).over(self._window(keys).rowsBetween(*BEFORE))["e"]
-        else:
+        none = F.lit(None) if default is None else default
+        if offset == 1:
             head = self.previous(value, ok, keys)
-        head = self.add(head)
-        return self.add(F.when(head.isNull(), F.lit(None) if default is None else default).otherwise(head["v"]))
+            return self.then(lambda: F.when(F.col(head).isNull(), none).otherwise(F.col(head)["v"]))
+        # Accepted rows are numbered; every row asks for a number.
+        keys = [self.add(k) for k in keys]
+        before = self.running("count", F.when(ok, 1), keys, BEFORE)
+        self.flush()
+        at = self.add(F.col(before) - (offset - 1))
+        side = self.df.filter(ok).select((F.col(before) + 1).alias("_at"), F.struct(*keys, F.lit(0)).alias("_ks"), F.struct(value.alias("v")).alias("_head"))
+        joined = self.df.withColumn("_kq", F.struct(*keys, F.lit(0))).join(side, (F.col("_kq") == F.col("_ks")) & (at == F.col("_at")), "left")
+        self.df = joined.withColumn(name := self._name(), F.when(F.col("_head").isNull(), none).otherwise(F.col("_head")["v"])).drop("_kq", "_ks", "_at", "_head")
+        return name
 
-    def latest(self, value, default=None, keys=(), when=None) -> Column:
+    def latest(self, value, default=None, keys=(), when=None) -> str:
         ok = self.accepted(value, when, True)
-        found = self.previous(value, ok, keys, SO_FAR)["v"]
-        return self.add(found if default is None else F.coalesce(found, default))
+        head = self.previous(value, ok, keys, SO_FAR)
+        return self.then(lambda: F.col(head)["v"] if default is None else F.coalesce(F.col(head)["v"], default))
 
-    def changed(self, value, skip_null: bool, keys=(), when=None) -> Column:
-        """Whether an accepted value differs from the one accepted before."""
+    def changed(self, value, skip_null: bool, keys=(), when=None) -> tuple[str, Column]:
+        """Whether an accepted value differs from the one accepted before, and the value."""
         value = self.add(value)
         ok = self.accepted(value, when, skip_null)
-        before = self.add(self.previous(value, ok, keys)["v"])
-        return self.add(ok & ~value.eqNullSafe(before))
+        head = self.previous(value, ok, keys)
+        return self.then(lambda: ok & ~value.eqNullSafe(F.col(head)["v"])), value
 
-    def total(self, kind: str, value, begin=None, reset=None, keys=(), when=None) -> Column:
+    def total(self, kind: str, value, begin=None, reset=None, keys=(), when=None) -> str:
         """A running sum, count, mean, maximum or minimum; from ``begin`` on, up to ``reset``, if given."""
         keys = list(keys)
         value = self.add(value if kind == "count" else value.cast("double"))
         ok = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
         if begin is not None:
-            end = self.add(F.coalesce(reset, F.lit(False)).cast("int"))
-            lap = self.add(F.coalesce(F.sum(end).over(self._window(keys).rowsBetween(*BEFORE)), F.lit(0)))
-            keys = [*keys, lap]
-            ok = ok & F.coalesce(F.max(F.coalesce(begin, F.lit(False)).cast("int")).over(self._window(keys).rowsBetween(*SO_FAR)) == 1, F.lit(False))
+            begins, ends = (self.add(F.coalesce(c, F.lit(False)).cast("int")) for c in (begin, reset))
+            lap = self.running("sum", ends, keys, BEFORE)
+            self.flush()
+            keys = [*keys, F.coalesce(F.col(lap), F.lit(0))]
+            begun = self.running("max", begins, keys)
+            self.flush()
+            ok = ok & F.coalesce(F.col(begun) == 1, F.lit(False))
         counted = self.add(F.when(ok, value))
-        f = {"sum": F.sum, "count": F.count, "avg": F.avg, "max": F.max, "min": F.min}[kind]
-        zero = F.lit(0).cast("bigint") if kind == "count" else F.lit(0.0)
-        return self.add(F.coalesce(f(counted).over(self._window(keys).rowsBetween(*SO_FAR)), zero))
+        if kind == "avg":
+            parts = self.running("sum", counted, keys), self.running("count", counted, keys)
+            return self.then(lambda: F.coalesce(F.try_divide(F.col(parts[0]), F.col(parts[1])), F.lit(0.0)))
+        run = self.running(kind, counted, keys)
+        return self.then(lambda: F.coalesce(F.col(run), F.lit(0).cast("bigint") if kind == "count" else F.lit(0.0)))

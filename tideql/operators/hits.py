@@ -2,6 +2,8 @@
 
 Whether a row passes depends on the rows that passed before it, so the clause is
 run in order, as a fold over the few values it needs; all else stays in the plan.
+The rows are sorted by Spark, which spills, and pass through one task a batch at a
+time; the fold keeps a count and a time, and no group is gathered.
 """
 
 from __future__ import annotations
@@ -9,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.frame import PlanProblem
 from ..sql import tree as t
@@ -42,15 +46,26 @@ def _value(node: t.Node, row: dict, state: dict):
     raise PlanProblem("hit functions stand in comparisons, arithmetic, AND and OR")
 
 
-def fold(rows: pd.DataFrame, clause: t.Node, time: str) -> pd.DataFrame:
-    """The rows in order with ``_pass``, and the state that each saw: ``_hits`` and ``_hit_time``."""
-    state, out = {"n": 0, "t": 0}, []
-    for row in rows.to_dict("records"):
-        ok = bool(_value(clause, row, state))
-        out.append((ok, state["n"], state["t"]))
-        if ok:
-            state = {"n": state["n"] + 1, "t": int(row[time])}
-    return rows.assign(_pass=[o[0] for o in out], _hits=[o[1] for o in out], _hit_time=[o[2] for o in out])
+def fold(df: DataFrame, clause: t.Node, order: list[str], parts: list[str]) -> DataFrame:
+    """The rows that pass the clause, in order, with the state that each saw: ``_hits`` and ``_hit_time``."""
+
+    def run(batches):
+        state = {"n": 0, "t": 0}
+        for batch in batches:
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_t", *parts)]
+            keep, seen = [], []
+            for time, *row in zip(*values, strict=True):
+                ok = bool(_value(clause, dict(zip(parts, row, strict=True)), state))
+                keep.append(ok)
+                if ok:
+                    seen.append((state["n"], state["t"]))
+                    state = {"n": state["n"] + 1, "t": time}
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            more = [pa.array([s[i] for s in seen], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*kept.schema.names, "_hits", "_hit_time"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_hits", T.LongType()), T.StructField("_hit_time", T.LongType())])
+    return df.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _split(clause: t.Node, column: Callable[[t.Node], Any]):
@@ -75,15 +90,13 @@ def _split(clause: t.Node, column: Callable[[t.Node], Any]):
 
 
 def filtered(frame, clauses: list[t.Node], make):
-    """The rows of a frame that pass clauses with last_hit_*; of each pass only its key and the clause's values go to Python."""
+    """The rows of a frame that pass clauses with last_hit_*."""
     clause = clauses[0]
     for c in clauses[1:]:
         clause = t.Op("and", clause, c)
     tree, parts = _split(clause, make(frame).column)
-    small = frame.df.select("_o", F.unix_millis("_ts").alias("_t"), *[c.alias(n) for n, c in parts.items()])
-    schema = ", ".join(f"{n} {k}" for n, k in small.dtypes) + ", _pass boolean, _hits bigint, _hit_time bigint"
-    passed = small.groupBy(F.lit(True)).applyInPandas(lambda p: fold(p.sort_values(["_t", "_o"]).astype(object).where(p.notna(), None), tree, "_t"), schema)
-    return frame.with_df(frame.df.join(passed.filter("_pass").select("_o"), "_o"))
+    rows = frame.df.withColumns({"_t": F.unix_millis("_ts"), **parts})
+    return frame.with_df(fold(rows, tree, ["_t", "_o"], list(parts)).drop("_t", *parts))
 
 
 def grouped(planner, q: t.Select, frame, make, group, dims, names):
@@ -96,9 +109,6 @@ def grouped(planner, q: t.Select, frame, make, group, dims, names):
     tree, parts = _split(t.rewrite(q.having if q.having is not None else t.Lit(True), expand), comp.column)
     plain = [(n, comp.column(f.expr)) for n, f in shown if not (isinstance(f.expr, t.Call) and f.expr.name in hits)]
     out = frame.df.groupBy(*group).agg(*[c.alias(n) for n, c in plain], *[c.alias(n) for n, c in parts.items()])
-    out = out.withColumn("_key", F.xxhash64(*[c for c in out.columns]))
-    small = out.select("_key", F.unix_millis("_w.end").alias("_t"), *parts)
-    schema = ", ".join(f"{n} {k}" for n, k in small.dtypes) + ", _pass boolean, _hits bigint, _hit_time bigint"
-    passed = small.groupBy(F.lit(True)).applyInPandas(lambda p: fold(p.sort_values(["_t", "_key"]).astype(object).where(p.notna(), None), tree, "_t"), schema)
-    out = out.join(passed.filter("_pass").select("_key", "_hits", "_hit_time"), "_key")
-    return out.select(*[(hits[f.expr.name] if isinstance(f.expr, t.Call) and f.expr.name in hits else F.col(f"`{n}`")).alias(n) for n, f in shown if not f.invisible])
+    out = out.withColumns({"_t": F.unix_millis("_w.end"), "_key": F.xxhash64(*out.columns)}).drop("_w")
+    passed = fold(out, tree, ["_t", "_key"], list(parts))
+    return passed.select(*[(hits[f.expr.name] if isinstance(f.expr, t.Call) and f.expr.name in hits else F.col(f"`{n}`")).alias(n) for n, f in shown if not f.invisible])

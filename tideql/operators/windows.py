@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .analytic import History
+
 TIME, WINDOW = "_ts", "_w"
 
 
@@ -88,36 +90,46 @@ def sliding(df: DataFrame, ms: int, delay: int, trigger: Column | None, order: s
     width = ms + delay + 1
     t = F.unix_millis(TIME)
     at = df if trigger is None else df.filter(trigger)
-    reach = F.explode(F.sequence(F.floor((t - ms) / width), F.floor((t + delay) / width)))
-    at = at.select(t.alias("_t"), F.col(order).alias("_at"), reach.alias("_b"))
+    at = at.groupBy(t.alias("_t"), F.col(order).alias("_at")).agg(F.count("*").alias("_c"))  # equal rows have a window each
+    at = at.withColumn("_i", F.explode(F.sequence(F.lit(1), "_c"))).select("_t", "_at", "_i", F.explode(F.sequence(F.floor((F.col("_t") - ms) / width), F.floor((F.col("_t") + delay) / width))).alias("_b"))
     rows = df.withColumn("_b", F.floor(t / width))
     inside = (F.unix_millis(TIME) >= F.col("_t") - ms) & ((F.unix_millis(TIME) < F.col("_t") + delay) if delay else (F.unix_millis(TIME) <= F.col("_t")))
     out = rows.join(at, "_b").filter(inside)
-    return out.withColumn(WINDOW, _span(F.col("_t") - ms, F.col("_t") + delay, F.col("_at").alias("at"))).drop("_b", "_t", "_at")
+    return out.withColumn(WINDOW, _span(F.col("_t") - ms, F.col("_t") + delay, F.col("_at").alias("at"), F.col("_i").alias("i"))).drop("_b", "_t", "_at", "_i")
 
 
 def states(df: DataFrame, begin: Column, emit: Column | None, keys: list[Column], order: list[Column]) -> DataFrame:
     """From each ``begin`` row to the next ``emit`` row; with one condition, from each to before the next.
 
-    Rows before the first window, and a window that never ends, go.
+    Rows before the first window, and a window that never ends, go.  Numbers of windows are running
+    totals over time buckets (see ``analytic``); a window's own rows meet in its group's aggregate.
     """
-    line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    df = df.withColumn("_s", F.coalesce(begin, F.lit(False)))
+    history = History(df, order)
+    keys = [history.add(k) for k in keys]
+    flag = lambda c: history.add(F.coalesce(c, F.lit(False)))
+    start = flag(begin)
     if emit is None:
-        df = df.withColumn("_g", F.sum(F.col("_s").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        last = F.max("_g").over(Window.partitionBy(*(keys or [F.lit(0)])))
-        df = df.withColumn("_l", last).filter((F.col("_g") > 0) & (F.col("_g") < F.col("_l"))).drop("_l")
+        number = history.running("sum", start.cast("int"), keys)
+        history.flush()
+        df = history.df.withColumn("_g", F.coalesce(F.col(number), F.lit(0)))
+        last = df.groupBy(F.struct(*keys, F.lit(0)).alias("_k")).agg(F.max("_g").alias("_l"))
+        df = df.withColumn("_k", F.struct(*keys, F.lit(0))).join(last, "_k").filter("_g > 0 and _g < _l")
     else:
-        df = df.withColumn("_x", F.coalesce(emit, F.lit(False)))
-        before = F.last(F.when(F.col("_x"), False).when(F.col("_s"), True), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-        df = df.withColumn("_p", F.coalesce(before, F.lit(False)))
-        df = df.withColumn("_g", F.sum((F.col("_s") & ~F.col("_p")).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        df = df.filter(F.col("_p") | F.col("_s"))
-        group = Window.partitionBy(*keys, "_g")
-        df = df.withColumn("_d", F.max(F.col("_x").cast("int")).over(group)).filter("_d = 1").drop("_x", "_p", "_d")
-    group = Window.partitionBy(*keys, "_g")
-    window = F.struct(F.min(TIME).over(group).alias("start"), F.max(TIME).over(group).alias("end"), F.col("_g").alias("number"))
-    return df.withColumn(WINDOW, window).drop("_s", "_g")
+        stop = flag(emit)
+        # A window is open where the last begin or emit row before was a begin row; a row that is both begins and ends one.
+        open_ = history.previous(~stop, start | stop, keys)
+        history.flush()
+        within = history.add(F.coalesce(F.col(open_)["v"], F.lit(False)))
+        number = history.running("sum", (start & ~within).cast("int"), keys)
+        history.flush()
+        df = history.df.withColumn("_g", F.col(number)).filter(within | start)
+        df = df.withColumn("_k", F.struct(*keys, F.lit(0)))
+        ended = df.groupBy("_k", "_g").agg(F.max(stop.cast("int")).alias("_d")).filter("_d = 1").select("_k", "_g")
+        df = df.join(ended, ["_k", "_g"])
+    spans = df.groupBy("_k", "_g").agg(F.min(TIME).alias("start"), F.max(TIME).alias("end"))
+    spans = spans.select("_k", "_g", F.struct("start", "end", F.col("_g").alias("number"), F.col("_k").alias("key")).alias(WINDOW))
+    hidden = [f"_h{i}" for i in range(1, history.n + 1)]
+    return df.join(spans, ["_k", "_g"]).drop("_k", "_g", "_l", "_b", *hidden)
 
 
 def every_window(windows: DataFrame, start_ms: int, end_ms: int, step: int, length: int) -> DataFrame:

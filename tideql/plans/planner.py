@@ -9,6 +9,8 @@ equalities, and no hint is given.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import AGGREGATES, ANALYTIC, SETS
 from ..operators import hits, windows
-from ..operators.analytic import History
+from ..operators.analytic import BUCKET_MS, History
 from ..sql import tree as t
 from ..sql.parser import unit_ms
 from .compiler import Compiler, conjuncts, is_aggregate
@@ -63,9 +65,11 @@ class Planner:
         for d in q.dims:
             if is_aggregate(d):
                 raise PlanProblem("GROUP BY has no aggregates")
-        aliases = {f.alias.lower() for f in q.items if f.alias and is_aggregate(f.expr)}
-        if q.having is not None and not is_aggregate(q.having) and not any(isinstance(n, t.Name) and n.name.lower() in aliases for n in q.having.walk()) and not any(isinstance(n, t.Call) and n.name in _HITS for n in q.having.walk()) and not q.dims:
-            raise PlanProblem("HAVING needs aggregates")
+        aliased = {f.alias.lower(): f.expr for f in q.items if f.alias}
+        if q.having is not None and not q.dims:
+            parts = list(t.rewrite(q.having, lambda n: aliased.get(n.name.lower(), n) if isinstance(n, t.Name) and n.source is None else n).walk())
+            if not any(isinstance(n, t.Call) and (n.name in AGGREGATES or n.name in _HITS) for n in parts):
+                raise PlanProblem("HAVING needs aggregates")
         for f in q.items:
             self._cycle({x.alias.lower(): x.expr for x in q.items if x.alias}, f)
         return q
@@ -98,7 +102,7 @@ class Planner:
         names = {f.alias.lower(): f.expr for f in q.items if f.alias}
         if frame.time is None:
             raise PlanProblem("functions of earlier rows need a stream with a time")
-        history, place = History(frame.df, [F.col(TIME), F.col("_o")]), {}
+        history, place = History(frame.df, [F.col(TIME), F.col("_o")], self.properties.get("bucket_ms", BUCKET_MS)), {}
         for c in calls:
             comp = Compiler(frame.with_df(history.df), names, self.properties)
             keys = [comp.column(k) for k in c.partition]
@@ -113,40 +117,33 @@ class Planner:
                 items += self._changed_cols(history, frame, names, f.expr, columns)
             else:
                 items.append(f)
+        history.flush()
         out = {}
         for c, col_name in place.items():
             columns.append(("", col_name, col_name))
             out[c] = t.Name(col_name)
-        from dataclasses import replace
-
         q = replace(q, items=tuple(items))
         q = t.rewrite(q, lambda n: out.get(n, n) if isinstance(n, t.Call) else n)
-        return q, Frame(history.df, tuple(columns))
+        return q, Frame(history.df.drop("_b"), tuple(columns))
 
     def _earlier(self, history: History, comp: Compiler, c: t.Call, keys, when) -> str:
         args = c.args
         value = lambda i, d=None: args[i].value if len(args) > i and isinstance(args[i], t.Lit) else d
         if c.name == "lag":
             default = comp.column(args[2]) if len(args) > 2 and value(2) is not None else None
-            out = history.lag(comp.column(args[0]), value(1, 1), default, value(3, True), keys, when)
-        elif c.name == "latest":
-            out = history.latest(comp.column(args[0]), comp.column(args[1]) if len(args) > 1 else None, keys, when)
-        elif c.name == "changed_col":
-            x = comp.column(args[1])
-            out = history.changed(x, value(0), keys, when)
-            out = history.add(F.when(out, x))
-        elif c.name == "had_changed":
+            return history.lag(comp.column(args[0]), value(1, 1), default, value(3, True), keys, when)
+        if c.name == "latest":
+            return history.latest(comp.column(args[0]), comp.column(args[1]) if len(args) > 1 else None, keys, when)
+        if c.name == "changed_col":
+            hit, x = history.changed(comp.column(args[1]), value(0), keys, when)
+            return history.then(lambda: F.when(F.col(hit), x))
+        if c.name == "had_changed":
             each = [F.col(f"`{n}`") for _, _, n in comp.frame.columns if not n.startswith("_")] if isinstance(args[1], t.Star) else [comp.column(a) for a in args[1:]]
-            out = F.lit(False)
-            for x in each:
-                out = out | history.changed(x, value(0), keys, when)
-            out = history.add(out)
-        else:
-            kind = c.name.removeprefix("acc_")
-            x = F.lit(1) if isinstance(args[0], t.Star) else comp.column(args[0])
-            begin, reset = (comp.condition(a) for a in args[1:3]) if len(args) == 3 else (None, None)
-            out = history.total(kind, x, begin, reset, keys, when)
-        return f"_h{history.n}" if out is not None else ""
+            found = [history.changed(x, value(0), keys, when)[0] for x in each]
+            return history.then(lambda: reduce(lambda a, b: a | b, [F.col(n) for n in found]))
+        x = F.lit(1) if isinstance(args[0], t.Star) else comp.column(args[0])
+        begin, reset = (comp.condition(a) for a in args[1:3]) if len(args) == 3 else (None, None)
+        return history.total(c.name.removeprefix("acc_"), x, begin, reset, keys, when)
 
     def _changed_cols(self, history: History, frame: Frame, names, c: t.Call, columns) -> list[t.Field]:
         prefix, skip = c.args[0].value, c.args[1].value
@@ -154,10 +151,10 @@ class Planner:
         each = [(n, F.col(f"`{col}`")) for _, n, col in frame.columns if not n.startswith("_")] if isinstance(c.args[2], t.Star) else [(a.name if isinstance(a, t.Name) else f"field_{i}", comp.column(a)) for i, a in enumerate(c.args[2:])]
         out = []
         for n, x in each:
-            hit = history.changed(x, skip)
-            history.add(F.when(hit, x))
-            columns.append(("", f"_h{history.n}", f"_h{history.n}"))
-            out.append(t.Field(t.Name(f"_h{history.n}"), prefix + n))
+            hit, value = history.changed(x, skip)
+            name = history.then(lambda hit=hit, value=value: F.when(F.col(hit), value))
+            columns.append(("", name, name))
+            out.append(t.Field(t.Name(name), prefix + n))
         return out
 
     # --- windows and joins
@@ -319,7 +316,7 @@ class Planner:
             by = [F.col(f"_p{i}_{k}") for k in range(len(parts))]
             lines = [F.col(f"_q{i}_{k}").asc_nulls_last() if up else F.col(f"_q{i}_{k}").desc_nulls_last() for k, (_, up) in enumerate(sort)]
             spans.append((label, by, lines))
-        out = base(df, [c.alias(n) for n, c in columns], extra)
+        out = base(df, columns, extra)
         for label, by, lines in spans:
             line = Window.partitionBy(*keys, *by) if keys or by else Window.partitionBy(F.lit(0))
             number = F.row_number().over(line.orderBy(*(lines or [F.col(c) for c in order_names]))) if keys or by or lines else F.lit(1)
@@ -334,12 +331,10 @@ class Planner:
         comp = make(frame)
         sets = {i: f for i, f in enumerate(q.items) if isinstance(f.expr, t.Call) and f.expr.name in SETS}
         items = tuple(t.Field(f.expr.args[0], self._label(f, i)) if i in sets else f for i, f in enumerate(q.items))
-        from dataclasses import replace
-
         columns = self._columns(replace(q, items=items), comp)
         keys = [WINDOW] if frame.window is not None else []
         hidden = [c for c in (WINDOW, TIME, "_o") if c in frame.df.columns]
-        base = lambda df, cols, extra: df.select(*cols, *extra, *hidden)
+        base = lambda df, cols, extra: df.select(*[c.alias(n) for n, c in cols], *extra, *hidden)
         if q.having is not None:
             frame = frame.with_df(frame.df.filter(comp.condition(q.having)))
         return self._emit(q, frame.df, base, columns, self._sorts(q, comp, columns), self._numbers(q, comp, keys), keys, [c for c in (TIME, "_o") if c in hidden])
@@ -360,8 +355,6 @@ class Planner:
         comp = make(frame.with_df(df), grouped=True, dims=dims)
         sets = {i: f for i, f in enumerate(q.items) if isinstance(f.expr, t.Call) and f.expr.name in SETS}
         items = tuple(t.Field(f.expr.args[0], self._label(f, i)) if i in sets else f for i, f in enumerate(q.items))
-        from dataclasses import replace
-
         hit = any(isinstance(n, t.Call) and n.name in _HITS for n in q.walk())
         if hit:
             return hits.grouped(self, replace(q, items=items), frame.with_df(df), make, group, dims, names)
@@ -369,8 +362,11 @@ class Planner:
         having = [] if q.having is None else [comp.condition(q.having).alias("_having")]
 
         def base(df, cols, extra):
-            helpers = [*extra, *having]
-            out = df.groupBy(*group).agg(*cols, *helpers) if group else df.agg(*cols, *helpers)
-            return out.filter("_having") if having else out
+            # The names of results come last: here they might be taken for columns that aggregates read.
+            values = [*[c.alias(f"_v{i}") for i, (_, c) in enumerate(cols)], *extra, *having]
+            out = df.groupBy(*group).agg(*values) if group else df.agg(*values)
+            out = out.filter("_having") if having else out
+            rest = [c for c in out.columns if not c.startswith("_v") and not c.startswith("_d")]
+            return out.select(*[F.col(f"_v{i}").alias(n) for i, (n, _) in enumerate(cols)], *rest)
 
         return self._emit(q, df, base, columns, self._sorts(q, comp, columns), self._numbers(q, comp, []), [WINDOW] if window else [], [])

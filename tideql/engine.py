@@ -76,6 +76,8 @@ class Engine:
         df = readers.read(self.spark, d, streaming and d.kind == "stream")
         if d.kind == "table" and "RETAIN_SIZE" in d.options:
             df = readers.retained(df, int(d.options["RETAIN_SIZE"]))
+        if streaming and d.kind == "stream" and "_ts" in df.columns:
+            df = df.withWatermark("_ts", f"{int(self.properties.get('lateTolerance', 1000))} milliseconds")
         return d.kind, df
 
     def sql(self, text: str, streaming: bool = False) -> DataFrame:
@@ -145,7 +147,9 @@ class Engine:
             from .graph import build
 
             return build(self, r.graph)
-        return self.planner(r.id, streaming).plan(parse(r.sql))
+        other = Engine(self.spark, self.properties | r.options)
+        other.definitions, other.frames, other.lazy = self.definitions, self.frames, self.lazy
+        return other.planner(r.id, streaming).plan(parse(r.sql))
 
     def run(self, rule_id: str) -> None:
         """Do a rule's actions once, over all that its bounded sources have; several actions share the rows."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .registry import SCALARS, Call, scalar
@@ -80,12 +82,12 @@ SCALARS["object_size"] = lambda call, o: F.coalesce(F.when(o.isNotNull(), F.size
 @scalar("object_concat")
 def object_concat(call, *o):
     """Shallow; the later object wins."""
-    out = _map(call, o[0])
-    for x in o[1:]:
-        x = _map(call, x)
-        first = F.map_filter(out, lambda k, v, x=x: ~F.coalesce(F.map_contains_key(x, k), F.lit(False)))
-        out = F.when(out.isNull(), x).when(x.isNull(), out).otherwise(F.map_concat(first, x))
-    return out
+
+    def both(a, b):
+        rest = F.map_filter(a, lambda k, v: ~F.coalesce(F.map_contains_key(b, k), F.lit(False)))
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_concat(rest, b))
+
+    return reduce(both, [_map(call, x) for x in o])
 
 
 @scalar("object_construct")

@@ -24,7 +24,7 @@ SCALARS["newuuid"] = lambda call: F.uuid() if hasattr(F, "uuid") else F.expr("uu
 SCALARS["hex2dec"] = lambda call, s: F.conv(F.regexp_replace(F.lower(s), "^0x", ""), 16, 10).cast("bigint")
 SCALARS["dec2hex"] = lambda call, n: F.concat(F.lit("0x"), F.lower(F.hex(n.cast("bigint"))))
 SCALARS["props"] = lambda call, name: F.lit(call.properties.get(call.values[0]))
-SCALARS["rule_id"] = lambda call: F.lit(call.properties.get("rule_id"))
+SCALARS["rule_id"] = lambda call: F.lit(call.properties.get("rule_id")).cast("string")
 SCALARS["rule_start"] = lambda call: F.lit(call.properties.get("rule_start")).cast("bigint")
 SCALARS["window_start"] = lambda call: F.unix_millis(call.window["start"])
 SCALARS["window_end"] = lambda call: F.unix_millis(call.window["end"])

@@ -89,4 +89,4 @@ def register_aggregate(name: str, f: Callable[..., Any], returns: str | None = N
         AGGREGATES[name.lower()] = lambda call, *c: f(*c)
 
 
-from . import aggregates, collections_, conversions, math_, strings, times  # noqa: E402, F401
+from . import aggregates, collections_, conversions, extras, math_, strings, times  # noqa: E402, F401

@@ -126,4 +126,5 @@ def build(engine, graph: dict) -> DataFrame:
 
     last = [n for n in nodes if not edges.get(n)]
     out = value(graph.get("result", last[0]))
-    return out[0] if isinstance(out, list) else out
+    out = out[0] if isinstance(out, list) else out
+    return out.drop(*[c for c in out.columns if c.startswith("_")])

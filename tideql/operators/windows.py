@@ -8,6 +8,7 @@ time bucket, and rows meet their neighbours by the bucket they fall in.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,28 +34,45 @@ def hopping(df: DataFrame, ms: int, hop: int) -> DataFrame:
     return df.withColumn(WINDOW, F.window(TIME, f"{ms} milliseconds", f"{hop} milliseconds"))
 
 
+def _cuts(cells: DataFrame, longest: int) -> DataFrame:
+    """(run, _c, cut): where the session ends that a cell of ``longest`` ms is in.
+
+    A session ends at the first multiple of ``longest`` that is ``longest`` or more after its first
+    row, and the next begins with the first row after.  Cells pass in order through the task of their run.
+    """
+
+    def fold(batches):
+        state = {"run": None, "cut": 0}
+        for batch in batches:
+            cuts = []
+            for run, c, lo in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if run != state["run"] or c * longest >= state["cut"]:
+                    state = {"run": run, "cut": -(-(lo + longest) // longest) * longest}
+                cuts.append(state["cut"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.int64())], ["run", "_c", "cut"])
+
+    rows = cells.select("run", "_c", "lo").repartition("run").sortWithinPartitions("run", "_c")
+    return rows.mapInArrow(fold, "run long, _c long, cut long")
+
+
 def sessions(df: DataFrame, gap: int, longest: int | None = None) -> DataFrame:
-    """Runs of rows at most ``gap`` ms apart, over all rows; a run is cut at multiples of ``longest`` ms.
+    """Runs of rows at most ``gap`` ms apart, over all rows; a run of ``longest`` ms or more is cut at multiples of it (see ``_cuts``).
 
     Rows of one bucket of ``gap`` ms are never in different runs, so runs are found among buckets.
     """
     t = F.unix_millis(TIME)
-    bucket = [F.floor(t / gap).alias("b")] + ([F.floor(t / longest).alias("c")] if longest else [])
-    names = ["b", "c"] if longest else ["b"]
-    df = df.select("*", *[x.alias(f"_{n}") for x, n in zip(bucket, names, strict=True)])
-    keys = [f"_{n}" for n in names]
-    spans = df.groupBy(*keys).agg(F.min(F.unix_millis(TIME)).alias("lo"), F.max(F.unix_millis(TIME)).alias("hi"))
+    df = df.withColumns({"_b": F.floor(t / gap), "_c": F.floor(t / longest) if longest else F.lit(0).cast("long")})
+    spans = df.groupBy("_b", "_c").agg(F.min(F.unix_millis(TIME)).alias("lo"), F.max(F.unix_millis(TIME)).alias("hi"))
     line = Window.orderBy("lo")
     new = (F.col("lo") - F.lag("hi").over(line) > gap) | F.lag("hi").over(line).isNull()
-    if longest:
-        new = new | (F.lag("_c").over(line) != F.col("_c"))
     spans = spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(line))
-    whole = Window.partitionBy("run")
-    spans = spans.select(*keys, F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"))
-    end = F.col("hi") + gap
     if longest:
-        end = F.least(end, (F.col("_c") + 1) * longest)
-    return df.join(spans, keys).withColumn(WINDOW, _span(F.col("lo"), end)).drop(*keys, "lo", "hi")
+        spans = spans.join(_cuts(spans.groupBy("run", "_c").agg(F.min("lo").alias("lo")), longest), ["run", "_c"])
+    else:
+        spans = spans.withColumn("cut", F.lit(None).cast("long"))
+    ends = spans.groupBy("run", F.coalesce("cut", F.lit(0)).alias("_z")).agg(F.min("lo").alias("a"), F.least(F.max("hi") + gap, F.max("cut")).alias("z"))
+    spans = spans.withColumn("_z", F.coalesce("cut", F.lit(0))).join(ends, ["run", "_z"]).select("_b", "_c", "a", "z")
+    return df.join(spans, ["_b", "_c"]).withColumn(WINDOW, _span(F.col("a"), F.col("z"))).drop("_b", "_c", "a", "z")
 
 
 def numbered(df: DataFrame, keys: list[Column], order: list[Column], bucket_ms: int = 60_000) -> DataFrame:

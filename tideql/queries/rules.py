@@ -85,7 +85,14 @@ ROWS = [
     ("sliding_delay", "SELECT window_end() AS e, count(*) AS c FROM events GROUP BY SLIDINGWINDOW(mi, 10, 5)", f"WITH e AS (SELECT *, {T} AS t FROM events) SELECT a.t + 300000 AS e, count(*) AS c FROM e a JOIN e b ON b.t >= a.t - 600000 AND b.t < a.t + 300000 GROUP BY a.event_id, a.t"),
     ("sliding_over_when", "SELECT window_end() AS e, count(*) AS c FROM events GROUP BY SLIDINGWINDOW(mi, 30) OVER(WHEN event_type = 'error')", f"WITH e AS (SELECT *, {T} AS t FROM events) SELECT a.t AS e, count(*) AS c FROM e a JOIN e b ON b.t BETWEEN a.t - 1800000 AND a.t WHERE a.event_type = 'error' GROUP BY a.event_id, a.t"),
     ("sliding_filter", "SELECT window_end() AS e, count(*) AS c FROM events GROUP BY SLIDINGWINDOW(hh, 1) FILTER(WHERE event_type = 'error') OVER(WHEN value > 10)", f"WITH e AS (SELECT *, {T} AS t FROM events WHERE event_type = 'error') SELECT a.t AS e, count(*) AS c FROM e a JOIN e b ON b.t BETWEEN a.t - 3600000 AND a.t WHERE a.value > 10 GROUP BY a.event_id, a.t"),
-    ("session_gap", "SELECT window_start() AS a, window_end() AS b, count(*) AS c FROM events GROUP BY SESSIONWINDOW(mi, 120, 8)", f"WITH e AS (SELECT {T} AS t FROM events), f AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) <= 480000 AND t // 7200000 = lag(t) OVER (ORDER BY t) // 7200000 THEN 0 ELSE 1 END AS n FROM e), g AS (SELECT t, sum(n) OVER (ORDER BY t) AS r FROM f) SELECT min(t) AS a, least(max(t) + 480000, (max(t) // 7200000 + 1)::BIGINT * 7200000) AS b, count(*) AS c FROM g GROUP BY r"),
+    (
+        "session_gap",
+        "SELECT window_start() AS a, window_end() AS b, count(*) AS c FROM events GROUP BY SESSIONWINDOW(mi, 120, 8)",
+        f"WITH RECURSIVE e AS (SELECT {T} AS t FROM events), f AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) <= 480000 THEN 0 ELSE 1 END AS n FROM e), g AS (SELECT t, sum(n) OVER (ORDER BY t) AS r FROM f), c AS (SELECT r, t // 7200000 AS k, min(t) AS lo FROM g GROUP BY ALL), "
+        "d AS (SELECT r, k, CASE WHEN lo = k * 7200000 THEN k + 1 ELSE k + 2 END AS z, lead(k) OVER w AS k1, lead(k, 2) OVER w AS k2, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY r ORDER BY k)), "
+        "s AS (SELECT r, k, z, CASE WHEN k1 >= z THEN k1 ELSE k2 END AS nx FROM d WHERE n = 1 UNION ALL SELECT d.r, d.k, d.z, CASE WHEN d.k1 >= d.z THEN d.k1 ELSE d.k2 END FROM s JOIN d ON d.r = s.r AND d.k = s.nx) "
+        "SELECT min(t) AS a, least(max(t) + 480000, s.z * 7200000)::BIGINT AS b, count(*) AS c FROM g JOIN s ON g.r = s.r AND t // 7200000 >= s.k AND t // 7200000 < s.z GROUP BY s.r, s.k, s.z",
+    ),
     ("count_tumbling", "SELECT count(*) AS c, max(event_id) AS m, min(value) AS v FROM events GROUP BY COUNTWINDOW(7)", "SELECT count(*) AS c, max(event_id) AS m, min(value) AS v FROM (SELECT *, (row_number() OVER (ORDER BY ts) - 1) // 7 AS g FROM events) GROUP BY g HAVING count(*) = 7"),
     ("count_sliding", "SELECT count(*) AS c, max(event_id) AS m, round(sum(value), 3) AS s FROM events GROUP BY COUNTWINDOW(10, 4)", "SELECT count(*) AS c, max(b.event_id) AS m, round(sum(b.value), 3) AS s FROM (SELECT row_number() OVER (ORDER BY ts) AS n FROM events) a JOIN (SELECT *, row_number() OVER (ORDER BY ts) AS n FROM events) b ON b.n > a.n - 12 AND b.n <= a.n // 4 * 4 AND b.n > a.n // 4 * 4 - 10 WHERE a.n % 4 = 0 AND a.n >= 10 GROUP BY a.n"),
     ("count_partition", "SELECT user_id, count(*) AS c, max(event_id) AS m FROM events GROUP BY COUNTWINDOW(5) OVER(PARTITION BY user_id)", "SELECT user_id, count(*) AS c, max(event_id) AS m FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) // 5 AS g FROM events) GROUP BY user_id, g HAVING count(*) = 5"),

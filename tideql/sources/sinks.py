@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def encoded(df: DataFrame, options: dict) -> DataFrame:
     else:
         value = F.to_json(F.struct(*df.columns), {"ignoreNullFields": str(not options.get("sendNil", False)).lower()})
     if how := options.get("compression"):
-        import pandas as pd
-
         def pack(s: pd.Series) -> pd.Series:
             return s.map(lambda x: packers()[how][0](x.encode()))
 

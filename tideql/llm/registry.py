@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array": suffix_array.SQL3,
     "op7_license_scan": licenses.SQL7,
     "op8_decontaminate": decontaminate.SQL8,
     "op9_minhash": minhash.SQL9,

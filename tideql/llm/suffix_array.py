@@ -224,4 +224,20 @@ def cut_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias(c)
+    return found.select("doc_id", "n_spans", "n_repeated_words", "n_removable_words", listed("spans"), listed("removable"))
+
+
+SQL3 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, i - 1 AS i, md5(array_to_string(l[i : i + 49], ' ')) AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w WHERE len(l) >= 50)),
+k AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS o FROM r),
+p AS (SELECT doc_id, i, false AS gone FROM k WHERE n > 1 UNION ALL SELECT doc_id, i, true FROM k WHERE o > 1),
+m AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, gone ORDER BY i) + 50 THEN 0 ELSE 1 END AS c FROM p),
+s AS (SELECT doc_id, gone, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id, gone ORDER BY i) AS t FROM m) GROUP BY doc_id, gone, t)
+SELECT doc_id, count(*) FILTER (NOT gone) AS n_spans, coalesce(sum(z - a) FILTER (NOT gone), 0)::BIGINT AS n_repeated_words, coalesce(sum(z - a) FILTER (gone), 0)::BIGINT AS n_removable_words,
+  string_agg(a || '-' || z, ',' ORDER BY a) FILTER (NOT gone) AS spans, coalesce(string_agg(a || '-' || z, ',' ORDER BY a) FILTER (gone), '') AS removable
+FROM s GROUP BY doc_id
+"""

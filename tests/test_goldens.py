@@ -98,6 +98,20 @@ def test_windowed_join(engine):
     assert got == [(T0 + 1000, 25.5, 1), (T0 + 2000, 28.1, 1), (T0 + 3000, 27.4, 1), (T0 + 4000, 25.5, 1)]
 
 
+def test_join_in_windows_that_rows_make(engine):
+    """Rows of both streams make sliding windows; each joins what it holds."""
+    got = rows(engine, "SELECT window_end() AS e, max(temp) AS m, count(color) AS c FROM demoE INNER JOIN demo1E ON demoE.ts = demo1E.ts GROUP BY SlidingWindow(ss,1)")
+    left, right = {t for *_, t in DEMO_E}, {t: x for x, _, t in DEMO_1E}
+    want = []
+    for end in sorted([t for *_, t in DEMO_E] + [t for *_, t in DEMO_1E]):
+        both = [t for t in left & set(right) if end - 1000 <= t <= end]
+        if both:
+            want.append((T0 + end, max(right[t] for t in both), len(both)))
+    assert sorted(got) == want
+    got = rows(engine, "SELECT count(*) AS n, count(temp) AS m FROM demoE LEFT JOIN demo1E ON demoE.ts = demo1E.ts GROUP BY SessionWindow(hh, 2, 1)")
+    assert got == [(5, 4)]
+
+
 def test_changed_columns(engine):
     got = engine.sql('SELECT ts, changed_cols("tt_", true, color, size) FROM demo').collect()
     assert [(r.tt_color, r.tt_size) for r in sorted(got, key=lambda r: r.ts)] == [("red", 3), ("blue", 6), (None, 2), ("yellow", 4), ("red", 1)]

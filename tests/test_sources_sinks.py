@@ -111,6 +111,42 @@ def test_sinks(spark, tmp_path):
     assert seen == [(2, 5)]
 
 
+def test_http(engine, spark):
+    """A rule reads one address and posts to another."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self._answer(b'[{"a": 1}, {"a": 2}]' if self.path == "/list" else b'{"a": 3}')
+
+        def do_POST(self):  # noqa: N802
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self._answer(b"{}")
+
+        def _answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    stream(engine, "web", "a BIGINT", DATASOURCE=f"{at}/list,{at}/one", TYPE="httppull")
+    engine.create_rule({"id": "h", "sql": "SELECT a * 10 AS b FROM web", "actions": [{"rest": {"url": f"{at}/in"}}]})
+    engine.run("h")
+    assert sorted(x["b"] for x in got) == [10, 20, 30]
+    got.clear()
+    sinks.write(spark.range(5).repartition(1), "rest", {"url": f"{at}/in", "batchSize": 2})
+    assert sorted(len(x) for x in got) == [1, 2, 2]
+    server.shutdown()
+
+
 def test_rule_life(engine, spark, tmp_path):
     engine.register("s", spark.createDataFrame([(1, 10), (2, 20)], "a bigint, ts bigint"), "ts")
     with pytest.raises(PlanProblem):

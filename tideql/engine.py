@@ -41,6 +41,7 @@ class Rule:
     options: dict = field(default_factory=dict)
     query: Any = None
     status: str = "stopped"
+    checkpoint: str | None = None
 
 
 class Engine:
@@ -177,9 +178,28 @@ class Engine:
 
         writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         r.query = (writer.trigger(availableNow=True) if available_now else writer).start()
-        r.status = "running"
+        r.status, r.checkpoint = "running", checkpoint
         return r.query
 
+    def patrol(self) -> list[str]:
+        """Start again the rules that an error ended and whose restartStrategy has attempts; their names."""
+        again = []
+        for r in self.rules.values():
+            if r.status == "running" and r.query is not None and not r.query.isActive and r.query.exception() is not None:
+                r.status = "failed"
+                if r.options.get("restartStrategy", {}).get("attempts", 0) > 0:
+                    self.start(r.id, r.checkpoint)
+                    again.append(r.id)
+        return again
+
+    def reset_state(self, rule_id: str) -> None:
+        """Forget a stopped rule's offsets and state."""
+        r = self.rules[rule_id]
+        self.stop(rule_id)
+        if r.checkpoint:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(r.checkpoint)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def stop(self, rule_id: str) -> None:
         r = self.rules[rule_id]
         if r.query is not None:

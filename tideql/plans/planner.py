@@ -42,12 +42,13 @@ class Planner:
         q, frame = self._analytic(q, frame)
         names = {f.alias.lower(): f.expr for f in q.items if f.alias}
         hit = any(isinstance(n, t.Call) and n.name in _HITS for n in (q.window or t.Lit(0)).walk())
+        others: dict[str, Frame] = {}
         if q.window:
             if hit:
                 raise PlanProblem("hit functions stand in WHERE or HAVING")
-            frame = self._window(q, frame, names)
+            frame, others = self._windows(q, frame, names)
         for j in q.joins:
-            frame = self._join(q, frame, j)
+            frame = self._join(q, frame, j, others)
         make = lambda fr, **kw: Compiler(fr, names, self.properties, **kw)
         frame = self._filter(q, frame, make)
         grouped = bool(q.dims) or any(is_aggregate(f.expr) for f in q.items) or (q.having is not None and is_aggregate(q.having))
@@ -183,15 +184,30 @@ class Planner:
             df = windows.states(df, comp.condition(w.args[0]), comp.condition(w.args[1]) if len(w.args) > 1 else None, keys, order)
         return frame.with_df(df)
 
-    def _join(self, q: t.Select, left: Frame, j: t.Join) -> Frame:
+    def _windows(self, q: t.Select, frame: Frame, names) -> tuple[Frame, dict[str, Frame]]:
+        """The first stream with its windows, and joined streams by alias with the same ones.
+
+        Tumbling and hopping windows don't depend on rows, so each stream has them by itself.  The
+        others do, on all rows of all streams: the streams are laid one upon another for them.
+        """
+        streams = [j for j in q.joins if self.source(j.source)[0] == "stream"]
+        if not streams or q.window.kind in ("tumbling", "hopping"):
+            return self._window(q, frame, names), {}
+        frames = [frame, *[self._frame(self.source(j.source)[1], j.alias, True) for j in streams]]
+        if any(f.time is None for f in frames):
+            raise PlanProblem("a window needs streams with a time")
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.df.withColumn("_n", F.lit(i)) for i, f in enumerate(frames)])
+        whole = self._window(q, Frame(union, tuple(c for f in frames for c in f.columns)), names).df
+        parts = [Frame(whole.filter(F.col("_n") == i).select(*[f"`{c}`" for c in f.df.columns], WINDOW), f.columns) for i, f in enumerate(frames)]
+        return parts[0], {j.alias: f for j, f in zip(streams, parts[1:], strict=True)}
+
+    def _join(self, q: t.Select, left: Frame, j: t.Join, others: dict[str, Frame]) -> Frame:
         kind, df = self.source(j.source)
-        right = self._frame(df, j.alias, True)
+        right = others.get(j.alias) or self._frame(df, j.alias, True)
         both_streams = kind == "stream" and q.window is not None
         if kind == "stream" and q.window is None:
             raise PlanProblem("streams are joined within a window")
-        if both_streams:
-            if q.window.kind not in ("tumbling", "hopping"):
-                raise PlanProblem("streams are joined within tumbling or hopping windows")
+        if both_streams and j.alias not in others:
             right = self._window(t.Select((), j.source, j.alias, window=t.Window(q.window.kind, q.window.unit, q.window.args)), right, {})
         hidden = {c: f"_r_{c}" for c in right.df.columns if c.startswith("_")}
         rdf = right.df.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in right.df.columns])

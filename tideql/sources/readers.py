@@ -12,7 +12,7 @@ from ..functions.conversions import packers
 from ..sql import tree as t
 
 #: Connectors for services that this library has no client for; ``register_source`` puts one in their place.
-EXTERNAL = {"mqtt", "httppull", "httppush", "websocket", "neuron", "edgex", "redissub", "sql", "video", "zmq"}
+EXTERNAL = {"mqtt", "httppush", "websocket", "neuron", "edgex", "redissub", "sql", "video", "zmq"}
 _CUSTOM: dict[str, Callable[[SparkSession, t.Definition, bool], DataFrame]] = {}
 
 
@@ -120,6 +120,8 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
         df = _file(spark, d, streaming)
     elif kind == "memory":
         df = memory(spark, d.options["DATASOURCE"])
+    elif kind == "httppull":
+        df = httppull(spark, [u.strip() for u in d.options["DATASOURCE"].split(",")], schema_of(d))
     elif kind == "kafka":
         reader = (spark.readStream if streaming else spark.read).format("kafka").option("subscribe", d.options["DATASOURCE"])
         df = decode(reader.load().selectExpr("cast(value as string) as value"), "value", "json", schema_of(d).simpleString(), merge=False)
@@ -130,6 +132,27 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
     return timed(validated(df, d), d.options.get("TIMESTAMP"), d.options.get("TIMESTAMP_FORMAT"))
 
 
+def httppull(spark: SparkSession, urls: list[str], schema: T.StructType | None, seconds: float = 10) -> DataFrame:
+    """The JSON that each address answers with, an object or an array of them; one task an address.  An address that fails fails the read."""
+
+    def get(batches):
+        import urllib.request
+
+        for batch in batches:
+            bodies = []
+            for url in batch["url"]:
+                with urllib.request.urlopen(url, timeout=seconds) as answer:  # noqa: S310
+                    bodies.append(answer.read().decode())
+            yield batch.assign(body=bodies)
+
+    df = spark.createDataFrame([(u,) for u in urls], "url string").repartition(len(urls)).mapInPandas(get, "url string, body string")
+    if schema is None:
+        return df
+    text = F.trim("body")
+    rows = F.from_json(F.when(F.startswith(text, F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), T.ArrayType(schema))
+    return df.select(F.explode(rows).alias("_x")).select("_x.*")
+
+
 # --- in-process topics
 
 _TOPICS: dict[str, DataFrame] = {}

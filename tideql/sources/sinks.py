@@ -13,7 +13,7 @@ from ..functions.conversions import packers
 from .readers import publish
 
 _CUSTOM: dict[str, Callable[[DataFrame, dict], None]] = {}
-EXTERNAL = {"mqtt", "rest", "websocket", "sse", "neuron", "edgex", "redis", "redispub", "kafka", "influx", "influx2", "tdengine3", "image", "zmq"}
+EXTERNAL = {"mqtt", "websocket", "sse", "neuron", "edgex", "redis", "redispub", "kafka", "influx", "influx2", "tdengine3", "image", "zmq"}
 
 
 class SinkProblem(ValueError):
@@ -85,6 +85,33 @@ def upsert(old: DataFrame | None, df: DataFrame, key: str, kind: str = "rowkind"
     return kept if old is None else old.join(last, key, "left_anti").select(*columns).unionByName(kept)
 
 
+def rest(df: DataFrame, options: dict) -> None:
+    """POST (or ``method``) to ``url``: a request a row, or a JSON array of up to ``batchSize`` rows each; tasks send side by side."""
+    url, method, size = options["url"], options.get("method", "post").upper(), int(options.get("batchSize", 1))
+    headers = {"Content-Type": "application/json"} | options.get("headers", {})
+
+    def send(batches):
+        import urllib.request
+
+        waiting: list[str] = []
+
+        def flush():
+            body = waiting[0] if size == 1 else "[" + ",".join(waiting) + "]"
+            with urllib.request.urlopen(urllib.request.Request(url, body.encode(), headers, method=method), timeout=options.get("timeout", 5)):  # noqa: S310
+                waiting.clear()
+
+        for batch in batches:
+            for text in batch["value"]:
+                waiting.append(text)
+                if len(waiting) == size:
+                    flush()
+            yield pd.DataFrame({"n": [len(batch)]})
+        if waiting:
+            flush()
+
+    encoded(df, {k: v for k, v in options.items() if k in ("sendNil", "format", "delimiter")}).mapInPandas(send, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def write(df: DataFrame, kind: str, options: dict | None = None) -> None:
     options, kind = dict(options or {}), kind.lower()
     if kind == "memory":
@@ -93,6 +120,8 @@ def write(df: DataFrame, kind: str, options: dict | None = None) -> None:
     df = transformed(df, options)
     if kind in _CUSTOM:
         _CUSTOM[kind](df, options)
+    elif kind == "rest":
+        rest(df, options)
     elif kind == "nop":
         df.write.format("noop").mode("overwrite").save()
     elif kind in ("log", "logtomemory"):

@@ -111,6 +111,30 @@ def test_sinks(spark, tmp_path):
     assert seen == [(2, 5)]
 
 
+def test_database(engine, spark):
+    url = "jdbc:derby:memory:tests;create=true"
+    sinks.write(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id bigint, name string"), "sql", {"url": url, "table": "T"})
+    engine.sql(f"CREATE TABLE t () WITH (DATASOURCE='{url}', TYPE='sql', EXTRA='{{\"table\": \"T\"}}')")
+    engine.sql(f"CREATE TABLE new () WITH (DATASOURCE='{url}', TYPE='sql', EXTRA='{{\"table\": \"T\", \"index\": \"id\", \"after\": 1}}')")
+    assert sorted(tuple(r) for r in engine.sql("SELECT id, name FROM t WHERE id < 3").collect()) == [(1, "a"), (2, "b")]
+    assert engine.sql("SELECT id FROM new").count() == 2
+
+
+def test_shared_source(engine, spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"a": i}) for i in range(10)))
+    stream(engine, "shared", "a BIGINT", DATASOURCE=str(tmp_path / "in"), FORMAT="json")
+    for i in (3, 7):
+        engine.create_rule({"id": f"m{i}", "sql": f"SELECT a FROM shared WHERE a >= {i}", "actions": [{"file": {"path": str(tmp_path / f"out{i}"), "fileType": "parquet"}}]})
+    engine.create_rule({"id": "state", "sql": "SELECT count(*) AS n FROM shared"})
+    with pytest.raises(PlanProblem):
+        engine.start_shared("shared", ["m3", "state"], str(tmp_path / "c"))
+    engine.start_shared("shared", ["m3", "m7"], str(tmp_path / "c")).awaitTermination(60)
+    assert [spark.read.parquet(str(tmp_path / f"out{i}")).count() for i in (3, 7)] == [7, 3]
+    engine.reset_state("m3")
+    assert not (tmp_path / "c").exists()
+
+
 def test_http(engine, spark):
     """A rule reads one address and posts to another."""
     import threading

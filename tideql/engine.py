@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import AGGREGATES, ANALYTIC
 from .plans.frame import PlanProblem
 from .plans.planner import Planner
 from .sources import readers, sinks
@@ -181,6 +182,32 @@ class Engine:
         r.status, r.checkpoint = "running", checkpoint
         return r.query
 
+    def start_shared(self, source: str, rule_ids: list[str], checkpoint: str, available_now: bool = True):
+        """Run rules without state over one read of a stream: each micro-batch is read once and goes through every rule."""
+        rules = [self.rules[i] for i in rule_ids]
+        for r in rules:
+            q = parse(r.sql)
+            if q.source.lower() != source.lower() or q.window or q.dims or any(isinstance(n, t.Call) and (n.name in AGGREGATES or n.name in ANALYTIC) for n in q.walk()):
+                raise PlanProblem(f"rule {r.id} does not map rows of {source} one by one")
+        kind, df = self.source(source, streaming=True)
+
+        def each(batch: DataFrame, _: int) -> None:
+            batch = batch.persist()
+            for r in rules:
+                other = Engine(self.spark, self.properties | r.options)
+                other.definitions, other.frames, other.lazy = self.definitions, self.frames | {source.lower(): (kind, batch)}, self.lazy
+                out = other.planner(r.id).plan(parse(r.sql))
+                for action in r.actions:
+                    for how, options in action.items():
+                        sinks.write(out, how, options)
+            batch.unpersist()
+
+        writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        query = (writer.trigger(availableNow=True) if available_now else writer).start()
+        for r in rules:
+            r.query, r.status, r.checkpoint = query, "running", checkpoint
+        return query
+
     def patrol(self) -> list[str]:
         """Start again the rules that an error ended and whose restartStrategy has attempts; their names."""
         again = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions.conversions import packers
 from ..sql import tree as t
 
 #: Connectors for services that this library has no client for; ``register_source`` puts one in their place.
-EXTERNAL = {"mqtt", "httppush", "websocket", "neuron", "edgex", "redissub", "sql", "video", "zmq"}
+EXTERNAL = {"mqtt", "httppush", "websocket", "neuron", "edgex", "redissub", "zmq"}
 _CUSTOM: dict[str, Callable[[SparkSession, t.Definition, bool], DataFrame]] = {}
 
 
@@ -120,6 +121,10 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
         df = _file(spark, d, streaming)
     elif kind == "memory":
         df = memory(spark, d.options["DATASOURCE"])
+    elif kind == "sql":
+        df = database(spark, d.options["DATASOURCE"], json.loads(d.options.get("EXTRA", "{}")))
+    elif kind == "video":  # frames that a grabber has left as files
+        df = (spark.readStream if streaming else spark.read).format("binaryFile").load(d.options["DATASOURCE"]).select(F.col("content").alias("self"), F.col("path").alias("file"), F.unix_millis("modificationTime").alias("time"))
     elif kind == "httppull":
         df = httppull(spark, [u.strip() for u in d.options["DATASOURCE"].split(",")], schema_of(d))
     elif kind == "kafka":
@@ -132,6 +137,17 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
     return timed(validated(df, d), d.options.get("TIMESTAMP"), d.options.get("TIMESTAMP_FORMAT"))
 
 
+def database(spark: SparkSession, url: str, options: dict) -> DataFrame:
+    """A table or query over JDBC; with ``column``, ``lower``, ``upper`` and ``parts`` read side by side, with ``after`` only newer rows of ``index``."""
+    reader = spark.read.format("jdbc").option("url", url)
+    for k, v in options.get("properties", {}).items():
+        reader = reader.option(k, v)
+    if "column" in options:
+        reader = reader.option("partitionColumn", options["column"]).option("lowerBound", options["lower"]).option("upperBound", options["upper"]).option("numPartitions", options["parts"])
+    df = (reader.option("query", options["query"]) if "query" in options else reader.option("dbtable", options["table"])).load()
+    return df.filter(F.col(options["index"]) > F.lit(options["after"])) if "after" in options else df
+
+
 def httppull(spark: SparkSession, urls: list[str], schema: T.StructType | None, seconds: float = 10) -> DataFrame:
     """The JSON that each address answers with, an object or an array of them; one task an address.  An address that fails fails the read."""
 

@@ -17,6 +17,7 @@ members that are in one component anyway are never formed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ from . import text as T
 from .components import components
 from .scratch import Scratch
 
+#: Words of 64 bits in the bitmap of a member's differences.
+BITS = 4
+#: Bits of the filter of documents to compare: 8 MB, sent to every executor.
+FILTER = 1 << 26
+
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
     """Runs of documents as sorted arrays of their distinct k-word shingles' hashes."""
@@ -82,31 +88,69 @@ def signatures(docs: DataFrame, k: int, m: int, t: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, h array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _places(ids: str) -> list:
+    """The filter's bits of an id."""
+    return [F.pmod(F.xxhash64(ids, F.lit(j)), F.lit(FILTER)) for j in range(4)]
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``FILTER`` bits, whatever the number of ids; what it lets through in error a join drops."""
+    places = ids.select(F.explode(F.array(*_places("id"))).alias("p"))
+    word = F.shiftright("p", 6).cast("int").alias("w")
+    words = places.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[np.asarray(words["w"])] = np.asarray(words["b"])
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, s): the sets of the documents in ``ids`` and of a few others.  Texts aren't shuffled: they are dropped where they are read."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+
     def run(batches):
         for batch in batches:
-            at = 0
-            for sets in shingle_sets(batch.column(1), k):
+            ok = np.ones(batch.num_rows, bool)
+            for j in range(4):
+                p = np.asarray(batch.column(2 + j))
+                ok &= bits.value[p >> 6] >> (p & 63) & 1 == 1
+            some, at = batch.filter(pa.array(ok)), 0
+            for sets in shingle_sets(some.column(1), k) if some.num_rows else ():
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), s], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(at, len(sets)), s], ["id", "s"])
                 at += len(sets)
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.select("id", "t", *_places("id")).mapInArrow(run, "id long, s array<long>")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, c): a's set less c's (more), c's less a's (less), both sizes, and whether they are linked; a table."""
     ids = pairs.select("a").union(pairs.select("c")).distinct().toDF("id")
-    sets = scratch.table(_sets(docs.join(ids, "id", "left_semi"), k))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("c", "sc"), "c")
+    sets = scratch.table(_sets(docs, ids, k))
+    once = sets.dropDuplicates(["id"])
+    both = pairs.join(once.toDF("a", "sa"), "a").join(once.toDF("c", "sc"), "c")
     both = both.select("a", "c", F.size("sa").alias("n"), F.size("sc").alias("nc"), F.array_except("sa", "sc").alias("more"), F.array_except("sc", "sa").alias("less"))
     union = F.col("nc") + F.size("more")
-    out = scratch.table(both.withColumn("linked", 100 * (F.col("n") - F.size("more")) >= percent * union).dropDuplicates(["a", "c"]))
+    out = scratch.table(both.withColumn("linked", 100 * (F.col("n") - F.size("more")) >= percent * union))
     scratch.drop(sets)
     return out
 
 
+def _ranked(compared: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with their differences from the centre, each as (f, x): the number of members of the bucket that have it, and the difference; rarest first."""
+    side = lambda c, m: F.transform(c, lambda x: F.struct(F.lit(m).alias("m"), x.alias("x")))
+    tokens = compared.select("c", "a", F.explode(F.concat(side("more", True), side("less", False))).alias("t")).select("c", "a", "t.m", "t.x")
+    known = tokens.groupBy("c", "m", "x").agg(F.count("*").cast("int").alias("f")).filter("f > 1")
+    tokens = tokens.join(known, ["c", "m", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    listed = lambda m: F.array_sort(F.collect_list(F.when(F.col("m") == m, F.struct("f", "x"))))
+    members = members.join(tokens.groupBy("c", "a").agg(listed(True).alias("more"), listed(False).alias("less")), ["c", "a"])
+    # Bits of the differences' hashes: bits that two members don't share bound the differences that they do.
+    every = F.transform(F.concat("more", "less"), lambda e: e["x"])
+    set_ = lambda b, x: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    word = lambda w: F.aggregate(every, F.lit(0).cast("long"), lambda b, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(BITS - 1)) == w, set_(b, x)).otherwise(b))
+    return members.withColumns({f"b{w}": word(w) for w in range(BITS)})
+
+
 def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, c) with the centres, and those between other members of a bucket that join components; a table.
 
@@ -123,9 +167,10 @@ def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     cost, free = 100 * F.size("less") + percent * F.size("more"), (100 - percent) * F.col("nc")
     # Two members that are both nearest to one centre are looked at in that centre's buckets alone.
     nearest = compared.groupBy("a").agg(F.min_by("c", cost / free).alias("main"))
-    members = compared.join(groups, "c").join(nearest, "a").join(roots, F.col("a") == F.col("u"), "left")
-    members = members.select("c", "a", "n", "linked", "more", "less", "main", cost.alias("cost"), free.alias("free"), F.coalesce("v", "a").alias("root"))
-    members = scratch.table(members.withColumn("u", F.floor(4 * F.col("cost") / F.col("free")).cast("int")))
+    small = compared.select("c", "a", "n", "linked", cost.alias("cost"), free.alias("free"))
+    members = small.join(groups, "c").join(nearest, "a").join(roots, F.col("a") == F.col("u"), "left").drop("u")
+    members = members.select(*small.columns, "main", F.coalesce("v", "a").alias("root"), F.floor(4 * F.col("cost") / F.col("free")).cast("int").alias("u"))
+    members = scratch.table(_ranked(compared, scratch.table(members)))
     # By classes of cost, a quarter of the free cost wide, the share that two members need is known well enough for short prefixes.
     kinds = members.groupBy("c", "u").agg(F.max(~F.col("linked")).alias("apart"))
 
@@ -134,22 +179,26 @@ def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         need = F.greatest(F.lit(1), F.ceil(F.col("free") * (F.col(own) + F.col(other) - 4) / (4 * (100 + percent))).cast("int"))
         rows = rows.withColumn("o", need).filter(F.col("o") <= F.size("more") + F.size("less"))
         # They share one of what they have more, at least what they can't share of what they miss; or only of what they miss.
-        first = lambda d, o: F.slice(F.array_sort(d), 1, F.greatest(F.lit(0), F.size(d) - o + 1))
+        # Rarest first, and those that no other member has can't be shared: what is left meets few partners.
+        first = lambda d, o: F.filter(F.slice(d, 1, F.greatest(F.lit(0), F.size(d) - o + 1)), lambda e: e["f"] > 1)
         tokens = F.concat(first("more", F.greatest(F.lit(1), F.col("o") - F.size("less"))), first("less", F.col("o")))
-        return rows.select("c", "a", "n", "linked", "cost", "free", "up", "uq", "root", "main", (F.size("more") + F.size("less")).alias("size"), F.explode(tokens).alias("x"))
+        return rows.select("c", "a", "n", "linked", "cost", "free", "up", "uq", "root", "main", *[f"b{w}" for w in range(BITS)], (F.size("more") + F.size("less")).alias("size"), F.explode(F.transform(tokens, lambda e: e["x"])).alias("x"))
 
     apart = prefixes(members.filter("not linked"), kinds, "up", "uq").alias("p")
     others = prefixes(members, kinds.filter("apart"), "uq", "up").alias("q")
     p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
-    may = (p("root") != q("root")) & ((p("main") != q("main")) | (p("main") == p("c"))) & (q("linked") | (p("a") < q("a"))) & (100 * F.least(p("n"), q("n")) >= percent * F.greatest(p("n"), q("n"))) & (p("cost") + q("cost") <= p("free") + (100 + percent) * F.least(p("size"), q("size")))
+    apart_bits = reduce(lambda a, b: a + b, [F.bit_count(p(f"b{w}").bitwiseXOR(q(f"b{w}"))) for w in range(BITS)])
+    most = F.least(p("size"), q("size"), (p("size") + q("size") - apart_bits) / 2)
+    may = (p("root") != q("root")) & ((p("main") != q("main")) | (p("main") == p("c"))) & (q("linked") | (p("a") < q("a"))) & (100 * F.least(p("n"), q("n")) >= percent * F.greatest(p("n"), q("n"))) & (p("cost") + q("cost") <= p("free") + (100 + percent) * most)
     same = (p("c") == q("c")) & (p("x") == q("x")) & (p("up") == q("up")) & (p("uq") == q("uq"))
     pairs = apart.join(others, same).filter(may).select(p("c").alias("c"), p("a").alias("a"), q("a").alias("b")).distinct()
-    own = members.select("c", "a", F.concat("more", "less").alias("da"), F.col("cost").alias("ca"), "free")
-    other = members.select("c", F.col("a").alias("b"), F.concat("more", "less").alias("db"), F.col("cost").alias("cb"))
+    pairs = scratch.table(pairs)  # few: Spark now knows how few, and need not deal out the members
+    own = members.select("c", "a", F.transform(F.concat("more", "less"), lambda e: e["x"]).alias("da"), F.col("cost").alias("ca"), "free")
+    other = members.select("c", F.col("a").alias("b"), F.transform(F.concat("more", "less"), lambda e: e["x"]).alias("db"), F.col("cost").alias("cb"))
     share = F.size(F.array_intersect("da", "db"))
     found = pairs.join(own, ["c", "a"]).join(other, ["c", "b"]).filter(F.col("ca") + F.col("cb") <= F.col("free") + (100 + percent) * share)
     out = scratch.table(known.union(found.select("a", F.col("b").alias("c"))).distinct())
-    scratch.drop(members)
+    scratch.drop(members, pairs)
     return out
 
 

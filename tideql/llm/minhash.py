@@ -215,8 +215,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     sig = scratch.table(signatures(docs, k, m, t))
     live = sig.filter("n > 0 and id is not null")
     prints = ["n", "f1", "f2"]
-    classes = live.groupBy(*prints).agg(F.min("id").alias("rep"))
+    # A class may have most documents.  Its smallest id is partially aggregated; as a table of its own it leaves a plain join, which Spark splits where it is skewed.
+    classes = scratch.table(live.groupBy(*prints).agg(F.min("id").alias("rep")))
     member = scratch.table(live.join(classes, prints).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("h")).alias("h")))
+    scratch.drop(classes)
 
     sub = member.filter("h is not null").dropDuplicates(["id"]).select("id", F.posexplode("h").alias("p", "x"))
     shared = sub.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("x", "of")

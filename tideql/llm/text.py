@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP = 2 << 20
-SLICE = 1 << 20
+GROUP = 1 << 20
+SLICE = 1 << 19
 
 U64 = np.uint64
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]

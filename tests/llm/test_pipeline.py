@@ -61,3 +61,37 @@ def test_stages_keep_columns(spark, tmp_path):
         out = stage(spark, df, str(tmp_path))
         assert out.dtypes == df.dtypes, name
         assert out.count() == 3
+
+
+def test_decontamination_cuts_hits_below_the_threshold(spark, tmp_path):
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    a, b, pad, more = words("Ab", 14), words("c", 13), words("pad", 300), words("é", 300)
+    texts = {
+        1: " ".join(pad) + "\n(" + ", ".join(a) + ") " + " ".join(more) + " --",
+        2: "  " + "--".join(b).upper() + ".\n" + " ".join(pad),
+        3: " ".join(pad) + " | " + " ".join(b),
+        4: " ".join([*pad, *a[:7], *b, *a[7:], *more]),  # a's windows meet where b is cut
+        5: " ".join([*pad, *b, *more, *b, *a[:12]]) + "!?",
+        6: " ".join([*pad[:30], *a]),
+        7: " ".join(pad),
+        8: None,
+    }
+    want = {
+        1: " ".join(pad) + "\n() " + " ".join(more) + " --",
+        2: "  .\n" + " ".join(pad),
+        3: " ".join(pad) + " | ",
+        4: " ".join(pad) + "  " + " ".join(more),
+        5: " ".join(pad) + "  " + " ".join(more) + "  " + " ".join(a[:12]) + "!?",
+        7: texts[7],
+        8: None,
+    }
+    df = spark.createDataFrame([Row(doc_id=i, text=t, n_chars=-1) for i, t in [*texts.items(), (1, texts[1])]], "doc_id long, text string, n_chars int").repartition(3)
+    spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.decontamination(spark, df, str(tmp_path))
+    assert got.dtypes == df.dtypes
+    got = got.collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 4, 5, 7, 8]
+    assert {r.doc_id: r.text for r in got} == want
+    assert all(r.n_chars == (-1 if r.doc_id > 6 else len(r.text)) for r in got)
+    left = brute_hits([(r.doc_id, r.text) for r in got], [(1, " ".join(a)), (2, " ".join(b))], 13)
+    assert not any(x[1] for x in left.values())

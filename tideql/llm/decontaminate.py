@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -20,6 +20,10 @@ from .wordlists import SQL_WORDS, listed, normal
 
 BLOCK = 200_000
 
+#: What stands before a word, and a text's parts: each word with what stands before it, then what stands after the last.
+GAP = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+PARTS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+
 
 def _windows(benchmark: DataFrame, text: str, item_id: str, n: int) -> DataFrame:
     """(gram, item): each window of each item; an item of fewer words is one window."""
@@ -85,10 +89,39 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_i
     return out.select(F.col("id").alias(doc_id), "print", "n_words", "n_hit", "spans", "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` without the words in ``spans`` and what stands between them; what stands around a span stays."""
+
+    def cut(parts: Column) -> Column:
+        start = lambda i: F.get(spans, i)["start"]
+        stop = lambda i: F.when(i < 0, 0).otherwise(F.get(spans, i)["stop"])
+        join = lambda a, z: F.array_join(F.slice(parts, a + 1, z - a), "")
+        kept = F.transform(spans, lambda _, i: F.concat(join(stop(i - 1), start(i)), F.regexp_extract(F.get(parts, start(i)), GAP, 0)))
+        return F.concat(F.array_join(kept, ""), join(stop(F.size(spans) - 1), F.size(parts)))
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))), cut), F.lit(0))
+
+
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """``df`` without contaminated rows."""
-    bad = contamination(df, benchmark, text, doc_id, **how).filter("contaminated").select(F.col(doc_id).alias("_i"), F.col("print").alias("_p")).distinct()
-    return df.join(bad, df[doc_id].eqNullSafe(bad["_i"]) & F.xxhash64(df[text].cast("string")).eqNullSafe(bad["_p"]), "left_anti")
+    """``df`` without contaminated rows; of the other rows' texts every occurrence of a window is cut.
+
+    A cut brings the words before and after it together.  Where that makes a window, the new text
+    is judged as if it had come so, until no row has a hit.  A column n_chars is set to the new
+    text's length where text was cut.  Rows without a hit stay as they are.
+    """
+    scratch, done = Scratch(df.sparkSession), []
+    while True:
+        hit = contamination(df, benchmark, text, doc_id, **how).filter("n_hit > 0")
+        hit = scratch.table(hit.select(F.col(doc_id).alias("_i"), F.col("print").alias("_p"), F.col("spans").alias("_s"), F.col("contaminated").alias("_c")).distinct())
+        on = df[doc_id].eqNullSafe(hit["_i"]) & F.xxhash64(df[text].cast("string")).eqNullSafe(hit["_p"])
+        done.append(df.join(hit, on, "left_anti"))
+        new = {text: _without(F.col(text).cast("string"), F.col("_s")).cast(df.schema[text].dataType)}
+        cut = df.join(hit.filter("not _c"), on).withColumns(new)
+        if "n_chars" in df.columns:
+            cut = cut.withColumn("n_chars", F.char_length(F.col(text).cast("string")).cast(df.schema["n_chars"].dataType))
+        df = scratch.table(cut.select(*df.columns))
+        if df.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

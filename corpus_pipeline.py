@@ -33,9 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids and their number."""
-    out = sentencepiece_table.encode(docs, keep=("doc_id", "lang", "source"), decode=False)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, the ids, their number and the text that they decode to."""
+    out = sentencepiece_table.encode(docs, keep=("doc_id", "lang", "source"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("passage dedup", passage_dedup), ("decontamination", decontamination), ("encoding", encoding)]

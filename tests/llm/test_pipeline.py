@@ -95,3 +95,12 @@ def test_decontamination_cuts_hits_below_the_threshold(spark, tmp_path):
     assert all(r.n_chars == (-1 if r.doc_id > 6 else len(r.text)) for r in got)
     left = brute_hits([(r.doc_id, r.text) for r in got], [(1, " ".join(a)), (2, " ".join(b))], 13)
     assert not any(x[1] for x in left.values())
+
+
+def test_encoding_decodes(spark, tmp_path):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["two words", " Ünï  côde \n東京 \U0001f600 ", "", None, "two words"]
+    df = spark.createDataFrame([Row(doc_id=i, text=t, lang="en", source="s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_tokens, r["ids"], r.decoded) for r in corpus_pipeline.encoding(spark, df, str(tmp_path)).collect()}
+    ids = [sp.encode(t or "", add_eos=True) for t in texts]
+    assert got == {i: (len(x), x, sp.decode(x)) for i, x in enumerate(ids)}

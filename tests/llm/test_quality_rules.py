@@ -53,3 +53,16 @@ def test_distance():
     import numpy as np
 
     assert Q.distance(np.array([[1.0, 0], [0, 1], [0, 0]]), np.array([[1.0, 0]])).round(6).tolist() == [0, 1, 0]
+
+
+def cyrillic(rng, words, letters):
+    return " ".join("".join(rng.choice("абвгдежзиклмнопрстуф") for _ in range(letters)) for _ in range(words)) + "."
+
+
+def test_every_language_has_a_reference(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 80, "en"), f"l{i // 2:03}") for i in range(140)] + [(500, cyrillic(rng, 80, 6), "zz"), (501, cyrillic(rng, 80, 6), "zz")]
+    rows += [(600, cyrillic(rng, 80, 12).replace(" ", "").replace(".", ""), "two"), (601, "x" * 400, "two"), (700, "%%& " * 99, None), (701, prose(rng, 150, "en").upper(), None)]
+    df = spark.createDataFrame([Row(doc_id=i, text=t, lang=x) for i, t, x in rows]).repartition(3)
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert all(got[i].kept for i in [*range(140), 500, 501]) and got[701].char_distance > Q.MOST_CHAR_DISTANCE

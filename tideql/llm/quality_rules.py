@@ -23,7 +23,6 @@ from . import text as T
 
 LEAST_CHARS, LEAST_WORDS = 200, 60
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.17, 0.45
-LANGUAGES = 64
 BINS = 1000
 
 COMMON = sorted(set(
@@ -104,8 +103,11 @@ def _failed(base: np.ndarray) -> np.ndarray:
     return (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
 
 
-def references(df: DataFrame, text: str, lang: str, languages: int = LANGUAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Character-class and common-word histograms, a row for each of the ``languages`` with most documents."""
+def references(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Character-class and common-word histograms, a row for each language.
+
+    Where the medians of a language's few, unlike documents are all zero, the mean shares take their place.
+    """
 
     def run(batches):
         for batch in batches:
@@ -130,16 +132,19 @@ def references(df: DataFrame, text: str, lang: str, languages: int = LANGUAGES)
 
     counts = df.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "lang string, kind int, dim int, bin int, n long")
     counts = counts.groupBy("lang", "kind", "dim", "bin").agg(F.sum("n").alias("n"))
-    top = counts.filter("kind = 0 and dim = 0").groupBy("lang").agg(F.sum("n").alias("d")).orderBy(F.desc("d"), "lang").limit(languages)
+    parts = counts.groupBy("lang", "kind", "dim").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"), F.sum(F.col("bin") * F.col("n")).alias("shares"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("bin"))
+    step = lambda s, e: F.struct((s["seen"] + e["n"]).alias("seen"), F.when((s["bin"] < 0) & (2 * (s["seen"] + e["n"]) >= F.col("total")), e["bin"]).otherwise(s["bin"]).alias("bin"))
+    middle = F.when(F.col("kind") == 0, F.aggregate("bins", start, step, lambda s: s["bin"]))
     chars: dict[str, np.ndarray] = {}
     words: dict[str, np.ndarray] = {}
-    for r in counts.join(F.broadcast(top.select("lang")), "lang").collect():
+    for r in parts.select("lang", "kind", "dim", middle.alias("middle"), "total", "shares").collect():
         if r.kind:
-            words.setdefault(r.lang, np.zeros(len(COMMON) + 1))[r.dim] = r.n
+            words.setdefault(r.lang, np.zeros(len(COMMON) + 1))[r.dim] = r.total
         else:
-            chars.setdefault(r.lang, np.zeros((len(CLASSES), BINS + 1)))[r.dim, r.bin] = r.n
+            chars.setdefault(r.lang, np.zeros((2, len(CLASSES))))[:, r.dim] = r.middle, r.shares / r.total
     names = sorted(set(chars) & set(words))
-    middle = [(np.cumsum(chars[x], 1) * 2 >= chars[x].sum(1, keepdims=True)).argmax(1) for x in names]
+    middle = [m if m.any() else mean for m, mean in (chars[x] for x in names)]
     unit = lambda rows, n: np.array([r / r.sum() for r in rows]).reshape(len(rows), n)
     return unit(middle, len(CLASSES)), unit([words[x] for x in names], len(COMMON) + 1)
 

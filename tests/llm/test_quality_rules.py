@@ -66,3 +66,14 @@ def test_every_language_has_a_reference(spark):
     df = spark.createDataFrame([Row(doc_id=i, text=t, lang=x) for i, t, x in rows]).repartition(3)
     got = {r.doc_id: r for r in Q.judge(df).collect()}
     assert all(got[i].kept for i in [*range(140), 500, 501]) and got[701].char_distance > Q.MOST_CHAR_DISTANCE
+
+
+def test_language_without_words_has_a_character_reference(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 80, "en"), "en") for i in range(6)] + [(i, cyrillic(rng, 15, 20), "zz") for i in range(6, 12)]
+    rows += [(20, " ".join(rng.choice("abcdefgh") for _ in range(60)), "yy"), (21, prose(rng, 150, "en").upper(), None)]
+    df = spark.createDataFrame([Row(doc_id=i, text=t, lang=x) for i, t, x in rows]).repartition(3)
+    chars, words = Q.references(df, "text", "lang")
+    got = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert (len(chars), len(words)) == (2, 2)
+    assert all(got[i].kept for i in range(12)) and got[21].char_distance > Q.MOST_CHAR_DISTANCE

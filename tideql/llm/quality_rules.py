@@ -104,7 +104,7 @@ def _failed(base: np.ndarray) -> np.ndarray:
 
 
 def references(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character-class and common-word histograms, a row for each language.
+    """Character-class and common-word histograms, a row for each language that has documents long enough for it.
 
     Where the medians of a language's few, unlike documents are all zero, the mean shares take their place.
     """
@@ -143,10 +143,9 @@ def references(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndar
             words.setdefault(r.lang, np.zeros(len(COMMON) + 1))[r.dim] = r.total
         else:
             chars.setdefault(r.lang, np.zeros((2, len(CLASSES))))[:, r.dim] = r.middle, r.shares / r.total
-    names = sorted(set(chars) & set(words))
-    middle = [m if m.any() else mean for m, mean in (chars[x] for x in names)]
+    middle = [m if m.any() else mean for m, mean in (chars[x] for x in sorted(chars))]
     unit = lambda rows, n: np.array([r / r.sum() for r in rows]).reshape(len(rows), n)
-    return unit(middle, len(CLASSES)), unit([words[x] for x in names], len(COMMON) + 1)
+    return unit(middle, len(CLASSES)), unit([words[x] for x in sorted(words)], len(COMMON) + 1)
 
 
 def distance(counts: np.ndarray, references: np.ndarray) -> np.ndarray:

@@ -17,9 +17,10 @@ def brute(rows, least):
     every, gone = defaultdict(set), defaultdict(set)
     for at in places.values():
         if len(at) > 1:
+            least_place = min(at)
             for d, i in at:
                 every[d] |= set(range(i, i + least))
-                if (d, i) != min(at):
+                if (d, i) != least_place:
                     gone[d] |= set(range(i, i + least))
     return {d: (len(x), len(gone[d]), x, gone[d]) for d, x in every.items()}
 
@@ -64,6 +65,48 @@ def test_cut(spark):
     assert got[1].text == texts[1] and got[1].n_chars == -1 and got[None].text == texts[None] and got[5].text is None
 
 
+def test_partitions_of_few_rows(spark):
+    """Neighbours at the edges of partitions, runs and suffixes alike."""
+    rows = made(3)[:14]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for parts, batch in ((12, 10000), (3, 7), (2, 3)):
+            for k, v in zip(old, (parts, "false", batch), strict=True):
+                spark.conf.set(k, v)
+            got = {r.doc_id: (r.n_repeated_words, r.n_removable_words, words(r.spans), words(r.removable)) for r in S.repeated_passages(spark.createDataFrame(rows)).collect()}
+            assert got == brute(rows, 50)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_long_texts_and_large_groups(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    part, long = text(300), text(40_000)
+    rows = [Row(doc_id=i, text=f"{text(20)} {part} {text(20)}") for i in range(80)] + [Row(doc_id=100 + i, text=part) for i in range(40)]
+    rows += [Row(doc_id=200, text=f"{long} {part} x {long}"), Row(doc_id=201, text="a b " * 4_000), Row(doc_id=202, text="")]
+    got = {r.doc_id: (r.n_repeated_words, r.n_removable_words, words(r.spans), words(r.removable)) for r in S.repeated_passages(spark.createDataFrame(rows).repartition(4)).collect()}
+    assert got == brute(rows, 50)
+
+
+def test_equal_ids_with_different_texts(spark):
+    a = " ".join(f"w{i}" for i in range(70))
+    rows = [Row(doc_id=0, text=a), Row(doc_id=1, text="x " + a), Row(doc_id=1, text="short one"), Row(doc_id=1, text="x " + a), Row(doc_id=1, text="y " + a)]
+    got = sorted((r.doc_id, r.n_removable_words) for r in S.repeated_passages(spark.createDataFrame(rows)).collect())
+    assert got == [(0, 0), (1, 70), (1, 70)]
+    assert sorted((r.doc_id, r.text) for r in S.cut_passages(spark.createDataFrame(rows)).collect()) == [(0, a), (1, "short one"), (1, "x "), (1, "x "), (1, "y ")]
+
+
+def test_clashing_names(spark):
+    a = " ".join(f"w{i}" for i in range(70))
+    names = ["_id", "_gone", "_t", "_row", "id", "print", "gone", "t", "row", "cut", "c0", "l", "at", "n"]
+    df = spark.createDataFrame([(i, a, *([i] * len(names))) for i in range(2)], ["doc_id", "text", *names])
+    out = S.cut_passages(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(0, a, *([0] * len(names)))]
+    assert S.repeated_passages(df).count() == 2
+
+
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([Row(doc_id=1, text=" ".join(map(str, range(80))))] * 2)
     assert S.repeated_passages(df).count() == 0 and S.cut_passages(df).count() == 2

@@ -1,4 +1,4 @@
-"""The word kernels without Spark: slices, prefixes and the filter of documents."""
+"""The word kernels without Spark: slices and the filter of documents."""
 
 import random
 
@@ -27,18 +27,6 @@ def test_words_do_not_depend_on_slices(monkeypatch, size):
     assert np.diff(want[3]).tolist() == [len(t.split()) for t in texts]
 
 
-def test_prefixes():
-    texts = ["Idiot idiotic IDIOTS idi réeux réeuxé"]
-    buf, offsets, _ = T.utf8(pa.array(texts))
-    h, first, end, _ = T.words(buf, offsets, T.SPACE, lower=True)
-    p = T.prefixes(buf, h, first, end, (5, 4))
-    assert (p[:, 0] == h).all()
-    assert len({p[0, 1], p[1, 1], p[2, 1]}) == 1 and p[0, 1] != p[0, 2] and p[0, 1] != h[0]
-    assert p[3].tolist() == [h[3]] * 3
-    assert p[4, 1] == p[5, 1] != p[0, 1]
-    assert T.prefixes(buf[:0], h[:0], first[:0], end[:0], (5, 4)).shape == (0, 3)
-
-
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     """With one word of bits nearly every document passes; results stay."""
     rng = random.Random(3)
@@ -51,5 +39,6 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, minhash.near_duplicates(df).collect()))
-    monkeypatch.setattr(minhash, "FILTER", 64)
+    monkeypatch.setattr(minhash, "FILTER_LEAST", 64)
+    monkeypatch.setattr(minhash, "FILTER_EACH", 0)
     assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == want

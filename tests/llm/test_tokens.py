@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import Row
@@ -30,16 +31,19 @@ def test_encode_is_the_librarys(spark, docs, sp):
     assert d[9].ids_sha256 == hashlib.sha256(" ".join(map(str, sp.encode(TEXTS[9], add_eos=True))).encode()).hexdigest()
 
 
-def test_table_is_emptied_when_full(sp):
-    t = sentencepiece_table.Chunks(most=50)
-    for text in [*filter(None, TEXTS), *filter(None, TEXTS)]:
-        assert [x for _, ids, _, _ in sentencepiece_table._rows([text], t, False, False, 10) for x in ids] == sp.encode(text)
+def test_parts_share_nothing(sp):
+    t = sentencepiece_table.Chunks()
+    for most in (1, 10, 100, 1 << 20):
+        got = [x for some in sentencepiece_table.parts(pa.array(TEXTS * 2), most) for x in sentencepiece_table._joined(some, t, False, True)[0].to_pylist()]
+        assert got == [sp.encode(x or "") for x in TEXTS * 2]
 
 
 def test_other_models_go_whole(sp):
     t = sentencepiece_table.Chunks()
     t.apart = False
-    assert t.split("a  b") == ["a  b"]
+    words, at = t.split(pa.array(["a  b", None, "", "c d"]))
+    assert (words.to_pylist(), at.tolist()) == (["a  b", "c d"], [0, 1, 1, 1, 2])
+    assert sentencepiece_table._joined(pa.array(["a  b", "", None]), t, True, True)[0].to_pylist() == [sp.encode(x, add_eos=True) for x in ("a  b", "", "")]
 
 
 def test_counts_are_the_librarys(spark, docs, sp):

@@ -2,28 +2,31 @@
 
 Where no piece of the vocabulary has a white-space marker after another sign, a
 merge never crosses the start of a marked word, so a text's ids are those of its
-marked words, one after another.  Each task keeps a table from marked word to
-ids: a word's first sight is segmented by the library (all new words of a batch
-in one call), and every place of it is joined to the ids by position.  The
-table is kept for a task's Python worker and emptied when it is full, so memory
-is bounded and nothing is shuffled.  A model of another kind is detected and its
-texts are handed to the library whole.
+marked words, one after another.  The texts of a batch are cut into marked words,
+``PART`` bytes at a time; each distinct word is segmented and decoded once by the
+library, and the ids and decoded words are joined back by position, in numpy and
+Arrow.  Most distinct words of a corpus are found once, so a table kept for longer
+saves little, and one of the whole corpus would need every word to be shuffled; a
+table lives as long as its part, which bounds memory.  A model of another kind is
+detected, and its texts are handed to the library whole.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import text as T
+
 MARK = "▁"
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Bytes of text that share a table, or one longer text.
+PART = 8 << 20
 
 
 def model_file(path: str | None) -> str:
@@ -36,9 +39,9 @@ def model_file(path: str | None) -> str:
 
 
 class Chunks:
-    """A model and its table of marked words.  ``most`` bounds the table's signs."""
+    """A model, and how its texts fall into marked words."""
 
-    def __init__(self, path: str | None = None, most: int = 8_000_000):
+    def __init__(self, path: str | None = None):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file(path))
@@ -46,69 +49,70 @@ class Chunks:
         self.lone = self.sp.piece_to_id(MARK)
         probe = "a  b c"  # white space is kept, and each word is marked in front
         self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self.sp.decode(self.sp.encode(f" {probe} ")) == f" {probe} " and not self.sp.is_unknown(self.lone) and self.sp.encode("Ａﬁ") != self.sp.encode("Afi")
-        self.most, self.held, self.ids, self.texts = most, 0, {}, {}
-
-    def split(self, text: str) -> list[str]:
-        """A text's marked words, without their first marker."""
-        if not text:
-            return []
-        if not self.apart:
-            return [text]
-        if MARK not in text and "  " not in text and text[0] != " ":
-            return text.split(" ")
-        return [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
-
-    def learn(self, keys, decode: bool) -> None:
-        """Add the words that the table lacks."""
-        new = [k for k in keys if k not in self.ids]
-        if not new:
-            return
-        if self.held > self.most:
-            self.ids.clear()
-            self.texts.clear()
-            self.held, new = 0, list(keys)
-        found = self.sp.encode(new, num_threads=1)
-        for i, k in enumerate(new):
-            if not k and self.apart:
-                found[i] = [self.lone]
-        self.ids.update(zip(new, map(tuple, found), strict=True))
-        if decode:
-            self.texts.update(zip(new, self.sp.decode(found, num_threads=1), strict=True))
-        self.held += sum(map(len, new)) + 60 * len(new)
-
-
-def _rows(texts: list[str | None], table: Chunks, eos: bool, decode: bool, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
-    """Runs of texts: how many, their ids back to back, the ids' counts, the decoded texts."""
-    at = 0
-    while at < len(texts):
-        size, upto = 0, at
-        while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= most):
-            size += len(texts[upto] or "")
-            upto += 1
-        split = [table.split(t or "") for t in texts[at:upto]]
-        table.learn(set(chain.from_iterable(split)), decode)
-        ids, get = array("i"), table.ids.__getitem__
-        counts, out = np.zeros(upto - at, np.int64), []
-        for i, keys in enumerate(split):
-            had = len(ids)
-            ids.extend(chain.from_iterable(map(get, keys)))
-            if eos:
-                ids.append(table.sp.eos_id())
-            counts[i] = len(ids) - had
-            if decode:
-                out.append(" ".join(map(table.texts.__getitem__, keys)))
-        yield upto - at, np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), counts, out
-        at = upto
-
-
-_TABLES: dict[tuple, Chunks] = {}
-
-
-def table_for(path: str | None) -> Chunks:
-    """This worker's table of a model."""
-    if (path,) not in _TABLES:
-        _TABLES[(path,)] = Chunks(path)
-    return _TABLES[(path,)]
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The texts' marked words, without their first marker, back to back, and each text's first word (one entry more than texts).
+
+        A run of markers belongs to the word after it; null and empty texts have no words.
+        """
+        if self.apart:
+            texts = pc.replace_substring(texts, MARK, " ")
+        buf, part, _ = T.utf8(texts)
+        full = np.diff(part) > 0
+        if self.apart and len(buf):
+            space = buf == 32
+            cut = space.copy()
+            cut[1:] &= ~space[:-1]
+            cut[part[:-1][full]] = False
+        else:
+            cut = np.zeros(len(buf), bool)
+        start = np.sort(np.concatenate((np.flatnonzero(cut), part[:-1][full])))
+        gone = np.concatenate(([0], np.cumsum(cut)))
+        ends = np.append(start - gone[start], len(buf) - gone[-1]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf[~cut]))), np.searchsorted(start, part)
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        found = self.sp.encode(words, num_threads=1)
+        return [ids if w or not self.apart else [self.lone] for w, ids in zip(words, found, strict=True)]
+
+
+def parts(texts: pa.Array, most: int = PART) -> Iterator[pa.Array]:
+    """``texts`` in slices of about ``most`` bytes, one text at least."""
+    _, offsets, _ = T.utf8(texts)
+    for lo, hi in T.groups(offsets, most):
+        yield texts.slice(lo, hi - lo)
+
+
+def _joined(texts: pa.Array, chunks: Chunks, eos: bool, decode: bool) -> list[pa.Array]:
+    """Lists of ids and, with ``decode``, decoded texts."""
+    words, at = chunks.split(texts)
+    table = words.dictionary_encode()
+    found = chunks.encode(table.dictionary.to_pylist())
+    place = np.asarray(table.indices).astype(np.int64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    if eos:  # the end is one more word of each text
+        place = np.insert(place, at[1:], len(found))
+        sizes = np.append(sizes, 1)
+    flat = np.fromiter(chain(chain.from_iterable(found), [chunks.sp.eos_id()] * eos), np.int32, int(sizes.sum()))
+    n, start = sizes[place], np.cumsum(sizes) - sizes
+    upto = np.concatenate(([0], np.cumsum(n)))
+    ids = flat[np.repeat(start[place] - upto[:-1], n) + np.arange(upto[-1])]
+    of = at + np.arange(len(at)) * eos
+    out = [pa.ListArray.from_arrays(pa.array(upto[of].astype(np.int32)), pa.array(ids))]
+    if decode:
+        said = pa.array(chunks.sp.decode(found, num_threads=1) if found else [], pa.string()).take(table.indices)
+        out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), said), " "))
+    return out
+
+
+_MODELS: dict[str | None, Chunks] = {}
+
+
+def model_of(path: str | None) -> Chunks:
+    """This worker's copy of a model."""
+    if path not in _MODELS:
+        _MODELS[path] = Chunks(path)
+    return _MODELS[path]
 
 
 def encode(df: DataFrame, text: str | Column = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None, eos: bool = True, decode: bool = True) -> DataFrame:
@@ -122,19 +126,15 @@ def encode(df: DataFrame, text: str | Column = "text", keep: tuple[str, ...] = (
     schema = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(src.dtypes[:-1])) + ", ids array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, names = table_for(model), [f"k{i}" for i in range(len(keep))] + ["ids"] + ["decoded"] * decode
+        chunks, names = model_of(model), [f"k{i}" for i in range(len(keep))] + ["ids"] + ["decoded"] * decode
         for batch in batches:
             at = 0
-            for n, ids, counts, texts in _rows(batch.column(len(keep)).to_pylist(), table, eos, decode, 4 << 20):
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                cols = [batch.column(i).slice(at, n) for i in range(len(keep))]
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())))
-                if decode:
-                    cols.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names)
-                at += n
-
-    out = src.mapInArrow(run, schema)
+            for some in parts(batch.column(len(keep))):
+                cols = [batch.column(i).slice(at, len(some)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(cols + _joined(some, chunks, eos, decode), names)
+                at += len(some)
+
+    out = src.mapInArrow(T.freed(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids", *["decoded"] * decode)
 
 

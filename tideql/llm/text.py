@@ -7,7 +7,9 @@ working set is bounded by ``GROUP`` bytes of text plus one longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
+def freed(run: Callable) -> Callable:
+    """``run`` over a task's batches; at its end the worker, which later stages use again, hands unused memory back to the system."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def table(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars)] = True
@@ -136,19 +158,6 @@ def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bool) ->
     return np.concatenate(hashes), first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
-def prefixes(buf: np.ndarray, hashes: np.ndarray, first: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
-    """A row for each word: its hash, then the hashes of its first bytes, A-Z lowered, as many as each of ``lengths``; its own where it has no more."""
-    out = np.repeat(hashes[:, None], 1 + len(lengths), 1)
-    up, _ = _powers(max(lengths))
-    for j, k in enumerate(lengths, 1):
-        long = np.flatnonzero(end - first >= k)
-        total = np.zeros(len(long), U64)
-        for i in range(k):
-            total += _BYTE[_LOWER[buf[first[long] + i]]] * up[i]
-        out[long, j] = mix(mix(total) ^ U64(k))
-    return out
-
-
 def word_hash(word: str, lower: bool = False) -> int:
     """The hash that ``words`` gives a word."""
     raw = np.frombuffer(word.encode(), np.uint8)

@@ -1,10 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table of the most frequent pre-tokens (white-space marked
+Tier one is a broadcast hash table of the most frequent pre-tokens (white-space marked
 words) with their numbers of tokens.  It is drawn from the whole corpus: each task
-keeps a lossy counter of bounded size and hands on its few thousand leaders, so
-what is moved is a fixed number of rows a task and never the pre-tokens
-themselves.  Tier two is a cache in each Python worker: what the table lacks is
+counts its pre-tokens in a lossy counter of bounded size, and the counters, one row a
+task, are merged in a tree.  Pre-tokens themselves are never shuffled, nor grouped by.
+Tier two is a cache in each Python worker: what the table lacks is
 encoded by the library once and remembered until the cache is full.  The tables
 decide speed alone; counts are the library's whatever they hold.
 """
@@ -13,84 +13,121 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sentencepiece_table import Chunks, table_for
+from . import text as T
+from .sentencepiece_table import Chunks, model_of, parts
 
-LEADERS = 4096
-FREQUENT = 65_536
+#: Pre-tokens that a counter hands on, and those of the broadcast table.
+LEADERS, FREQUENT = 4096, 65_536
+#: Counters that are merged at once, in the tree's first level.
+FAN = 64
+_COUNTER = "w array<string>, n array<bigint>"
+
+
+def _leaders(seen: Counter, most: int) -> pa.RecordBatch:
+    top = seen.most_common(most)
+    return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["w", "n"])
 
 
 def frequent(df: DataFrame, text: str = "text", model: str | None = None, leaders: int = LEADERS, most: int = FREQUENT) -> list[str]:
     """Up to ``most`` frequent pre-tokens of all texts; a task hands on ``leaders`` of its own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = table_for(model), Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, seen = model_of(model), Counter()
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(table.split(t.as_py() or ""))
+            for some in parts(batch.column(0)):
+                found = pc.value_counts(chunks.split(some)[0])
+                found = found.filter(pc.and_(pc.greater(found.field("counts"), 1), pc.less_equal(pc.utf8_length(found.field("values")), 64)))
+                for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                    seen[w] += n
                 if len(seen) > 64 * leaders:  # lossy: the lighter part goes
                     seen = Counter(dict(seen.most_common(16 * leaders)))
-        top = [(w, n) for w, n in seen.most_common(leaders) if n > 1 and len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
-
-    counts = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
-
-
-def pack(chunks: Chunks, words: list[str]) -> tuple[str, bytes, bytes]:
-    """A compact form of the table: the words end to end, their ends and their counts."""
-    chunks.learn(words, decode=False)
-    counts = [len(chunks.ids[w]) for w in words]
-    return "".join(words), np.cumsum([0, *map(len, words)]).astype(np.uint32).tobytes(), np.array(counts, np.uint16).tobytes()
-
-
-def unpack(packed: tuple[str, bytes, bytes]) -> dict[str, int]:
-    text, ends, counts = packed[0], np.frombuffer(packed[1], np.uint32).tolist(), np.frombuffer(packed[2], np.uint16).tolist()
-    return {text[a:b]: n for a, b, n in zip(ends, ends[1:], counts, strict=False)}
-
-
-_CACHE: dict = {}
-
-
-def count_tokens(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str | None = None, limit: int = 4096, cache: int = 300_000, leaders: int = LEADERS, most: int = FREQUENT) -> DataFrame:
+        yield _leaders(seen, leaders)
+
+    def merge(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = Counter()
+            for batch in batches:
+                for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for w, n in zip(words, counts, strict=True):
+                        seen[w] += n
+                    if len(seen) > 16 * size:
+                        seen = Counter(dict(seen.most_common(4 * size)))
+            if seen:
+                yield _leaders(seen, size)
+
+        return run
+
+    counters = df.select(F.col(text).cast("string").alias("t")).mapInArrow(T.freed(count), _COUNTER)
+    counters = counters.repartition(FAN).mapInArrow(T.freed(merge(most)), _COUNTER).repartition(1).mapInArrow(T.freed(merge(most)), _COUNTER)
+    return [w for r in counters.collect() for w in r.w]
+
+
+def pack(chunks: Chunks, words: list[str]) -> tuple[bytes, bytes]:
+    """A compact form of the table: the words as an Arrow buffer, and their counts."""
+    counts = np.array([len(x) for x in chunks.encode(words)], np.uint16)
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["w"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes(), counts.tobytes()
+
+
+def unpack(packed: tuple[bytes, bytes]) -> tuple[pa.Array, np.ndarray]:
+    return pa.ipc.open_stream(packed[0]).read_all().column(0).combine_chunks(), np.frombuffer(packed[1], np.uint16).astype(np.int64)
+
+
+#: A worker's counts of the pre-tokens that the table lacks.
+_MISSES: dict[tuple, dict[str, int]] = {}
+
+
+def _lengths(chunks: Chunks, words: pa.Array, table: tuple[pa.Array, np.ndarray], misses: dict[str, int], cache: int) -> np.ndarray:
+    """The numbers of tokens of distinct pre-tokens."""
+    found = pc.index_in(words, table[0])
+    out = np.zeros(len(words), np.int64)
+    hit = np.asarray(found.is_valid())
+    out[hit] = table[1][np.asarray(found.drop_null())]
+    rest = words.filter(pa.array(~hit)).to_pylist()
+    new = [w for w in rest if w not in misses]
+    known = dict(zip(new, map(len, chunks.encode(new)), strict=True))
+    out[~hit] = [misses[w] if w in misses else known[w] for w in rest]
+    if len(misses) + len(new) > cache:
+        misses.clear()
+    if len(new) <= cache:
+        misses.update(known)
+    return out
+
+
+def count_tokens(df: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str | None = None, limit: int = 4096, cache: int = 200_000, leaders: int = LEADERS, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row.
 
     A null text counts as empty: no bytes, no tokens.  Repeated rows, null ids and columns of
     any other name pass untouched or unseen; an empty table gives an empty result.  ``cache``
     bounds the pre-tokens that a worker remembers.
     """
-    chunks = Chunks(model)
-    packed = df.sparkSession.sparkContext.broadcast(pack(chunks, frequent(df, text, model, leaders, most)))
+    packed = df.sparkSession.sparkContext.broadcast(pack(Chunks(model), frequent(df, text, model, leaders, most)))
     src = df.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_for(model)
-        if _CACHE.get("of") != packed.value:
-            _CACHE.update(of=packed.value, first=unpack(packed.value), misses={})
-        first, misses = _CACHE["first"], _CACHE["misses"]
+        chunks, table, misses = model_of(model), unpack(packed.value), _MISSES.setdefault((model,), {})
         for batch in batches:
-            counts, sizes = [], []
-            for value in batch.column(1):
-                t = value.as_py() or ""
-                keys = table.split(t)
-                if new := {k for k in keys if k not in first and k not in misses}:
-                    if len(misses) + len(new) > cache:
-                        misses.clear()
-                        new = {k for k in keys if k not in first}
-                    new = list(new)
-                    found = table.sp.encode(new, num_threads=1)
-                    misses.update((k, len(ids) if k or not table.apart else 1) for k, ids in zip(new, found, strict=True))
-                counts.append(sum(first[k] if k in first else misses[k] for k in keys))
-                sizes.append(len(t.encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["k", "n_bytes", "n_tokens"])
-
-    out = src.mapInArrow(run, f"k {src.dtypes[0][1]}, n_bytes long, n_tokens long")
+            at = 0
+            for some in parts(batch.column(1)):
+                words, first = chunks.split(some)
+                distinct = words.dictionary_encode()
+                n = _lengths(chunks, distinct.dictionary, table, misses, cache)[np.asarray(distinct.indices)]
+                counts = np.diff(np.concatenate(([0], np.cumsum(n)))[first])
+                sizes = np.diff(T.utf8(some)[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["k", "n_bytes", "n_tokens"])
+                at += len(some)
+
+    out = src.mapInArrow(T.freed(run), f"k {src.dtypes[0][1]}, n_bytes long, n_tokens long")
     return out.select(F.col("k").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -1,10 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tideql.llm import language, quality_mil, toxicity
+from tideql.llm import language, quality_mil, quality_rules, toxicity
 from tideql.llm import text as T
 
 RNG = random.Random(2)
@@ -34,6 +36,62 @@ def test_segments_by_definition():
         assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def logistic(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def plain_toxicity(m, text):
+    """The score by its definition, word by word."""
+    words = re.findall("(?:[a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda x: x[0].lower(), text or ""))
+    odds = dict(zip(m.words.tolist(), m.odds.tolist(), strict=True))
+    s = np.array([odds.get(T.word_hash(w), 0.0) - m.drift for w in words])
+    chance = math.log(max(m.k * len(words), 1e-9))
+    nats = [m.rate * x - chance for _, _, x in (brute_segments(s) if len(s) else []) if m.rate * x > chance]
+    return logistic(m.weight * math.log1p(sum(nats)) + m.bias), len(nats)
+
+
+def plain_quality(m, text):
+    """The score of one bag, passage by passage."""
+    raw, size = (text or "").encode(), quality_mil.PASSAGE
+    kinds, n = quality_rules._CLASS, quality_mil._N
+    words = [(x.start(), x[0].lower()) for x in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    hs = []
+    for a in range(0, max(1, len(raw)), size):
+        z = min(a + size, len(raw))
+        one, two = [0.0] * n, [0.0] * (n * n)
+        for i in range(a, z):
+            one[kinds[raw[i]]] += 1
+            if i:
+                two[kinds[raw[i - 1]] * n + kinds[raw[i]]] += 1
+        mine = [i for i, (at, _) in enumerate(words) if a <= at < z]
+        share = lambda f: sum(map(f, mine)) / max(1, len(mine))
+        more = [share(lambda i: i > 0 and words[i][1] == words[i - 1][1]), share(lambda i: words[i][1] in [w for _, w in words[:i]]), share(lambda i: len(words[i][1])) / 10, min(len(mine) / 80, 2), math.log1p(z - a) / 6]
+        x = (np.array([v / max(1, z - a) for v in one + two] + more) - m.mean) / m.scale
+        hs.append(np.tanh(x @ m.p["W"] + m.p["b"]))
+    weigh = [math.exp(sum(m.p["w"][j] * math.tanh(h @ m.p["V"][:, j]) * logistic(h @ m.p["U"][:, j]) for j in range(quality_mil.GATE))) for h in hs]
+    z = sum(w / sum(weigh) * h for w, h in zip(weigh, hs, strict=True))
+    return logistic(float(z @ m.p["c"] + m.p["d"][0]))
+
+
+def plain_language(m, text):
+    """Label and probability by the definition, n-gram by n-gram."""
+    if not re.search("[^\\W\\d_]", text or ""):
+        return "und", 0.0
+    c = [ord(x) if x.isalpha() or ord(x) > 0x7F else 32 for x in text.lower()]
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            if c[i] != 32 or c[i + n - 1] != 32:
+                h = sum((c[i + j] + (j << 24)) * int(language._K[j]) for j in range(n)) % 2**64
+                at = int(T.mix(np.array([h], np.uint64))[0]) >> 51
+                counts[at] = counts.get(at, 0) + 1
+    v = {at: math.log1p(n) * m.idf[at] for at, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    logits = [sum(x / norm * m.weights[at, k] for at, x in v.items()) + m.weights[-1, k] for k in range(len(m.names))]
+    e = [math.exp((x - max(logits)) / m.temperature) for x in logits]
+    return m.names[int(np.argmax(e))], max(e) / sum(e)
+
+
 def test_toxic_passages_are_found(spark):
     bad = ["vileword", "foulword", "Grimword"]
     texts, labels = [], []
@@ -55,6 +113,10 @@ def test_toxic_passages_are_found(spark):
     assert "word" in texts[0][1].encode()[p.start : p.stop].decode() and p.stop - p.start < len(texts[0][1]) / 2
     assert [r.predicted for r in got if r.doc_id is None] == [1, 1] and not any(by[i].predicted for i in (1000, 1001, 1002))
     assert toxicity.score(df.limit(0), model).count() == 0
+    for r, (i, t) in zip(sorted((r for r in got if r.doc_id is not None and r.doc_id < 40), key=lambda r: r.doc_id), texts[:40], strict=True):
+        want, n = plain_toxicity(model, t)
+        assert r.doc_id == i and abs(r.score - want) < 1e-6 and len(r.passages) == n
+    assert all(abs(by[i].score - plain_toxicity(model, "")[0]) < 1e-9 for i in (1000, 1001))
 
 
 def test_without_labels(spark):
@@ -98,6 +160,8 @@ def test_quality_is_learnt(spark):
     assert len(got) == 505 and np.mean([a == b for a, b in held]) > 0.97
     assert all(abs(sum(r.attention) - 1) < 1e-6 and 0 <= r.score <= 1 for r in got)
     assert quality_mil.score(df.limit(0), model).count() == 0
+    text = {i: t for i, t in rows if i is not None}
+    assert all(abs(r.score - plain_quality(model, text[r.doc_id])) < 1e-4 for r in got if r.doc_id is not None and (r.doc_id < 60 or r.doc_id in (900, 901)))
 
 
 def test_language_is_learnt(spark):
@@ -113,3 +177,15 @@ def test_language_is_learnt(spark):
     assert len(held) > 60 and np.mean(held) > 0.97 and len(got) == len(rows)
     assert [by[i].lang_pred for i in (900, 901, 902, 903, 905)] == ["und", "und", "und", "xa", "xd"] and all(0 <= r.score <= 1 for r in got)
     assert language.identify(df.limit(0), model).count() == 0
+    for i, t, _ in rows[:60] + rows[400:404]:
+        name, p = plain_language(model, t)
+        assert by[i].lang_pred == name and abs(by[i].score - p) < 1e-4
+
+
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    """No language is left out, be there more than the sample would hold, or longer texts alone."""
+    monkeypatch.setattr(language, "LONGEST", 400)
+    names = [f"l{i:03d}" for i in range(300)]
+    rows = [(i * 300 + j, " ".join([chr(0x4E00 + 7 * j) * 3 + chr(0x4E01 + 7 * j)] * (400 if j == 5 else 4)), name) for i in range(4) for j, name in enumerate(names)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), total=300)
+    assert model.names == names

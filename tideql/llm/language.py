@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Learnt from: about so many documents of each language, of at most so many bytes, and so many languages.
-ROWS, LONGEST, LANGUAGES = 1000, 1 << 16, 256
+#: Learnt from: about so many documents of each language, and in all (8 of each at least), of at most so many bytes where a language has such.
+ROWS, TOTAL, LONGEST = 1000, 64_000, 1 << 16
+#: Products of n-grams and languages that are formed at once.
+CELLS = 1 << 22
 DIM = 1 << 13
 UNKNOWN = "und"
 _K = T.seeds(3, 4242) | np.uint64(1)
@@ -54,12 +56,20 @@ class Model:
     weights: np.ndarray  # DIM + 1 rows, the last the bias
     temperature: float = 1.0
 
-    def features(self, n: np.ndarray) -> np.ndarray:
-        x = np.log1p(n) * self.idf
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-
     def logits(self, n: np.ndarray) -> np.ndarray:
-        return self.features(n) @ self.weights[:-1] + self.weights[-1]
+        """Of documents by the numbers of their n-grams.  Only the n-grams that they have are looked at."""
+        row, at = np.nonzero(n)
+        v = np.log1p(n[row, at]) * self.idf[at]
+        norm = np.maximum(np.sqrt(np.bincount(row, v * v, len(n))), 1e-9)
+        learnt = self.weights[:-1].any(1)[at]
+        row, at, v = row[learnt], at[learnt], v[learnt] / norm[row[learnt]]
+        out = np.zeros((len(n), self.weights.shape[1])) + self.weights[-1]
+        step = max(1, CELLS // self.weights.shape[1])
+        for i in range(0, len(row), step):
+            some = slice(i, i + step)
+            r, first = np.unique(row[some], return_index=True)
+            out[r] += np.add.reduceat(v[some, None] * self.weights[at[some]], first)
+        return out
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -89,13 +99,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return weights(np.arange(DIM + 1))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = ROWS) -> Model:
-    """A model from about ``rows`` documents of each of the ``LANGUAGES`` most frequent languages, none held out."""
-    known = docs.select(F.col(doc_id).alias("k"), F.lower(F.col(text).cast("string")).alias("t"), F.col(lang).cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike("\\p{L}") & (F.coalesce(T.crc_rest(F.col("k"), 4), F.lit(0)) != 2) & (F.octet_length("t") <= LONGEST))
-    sizes = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = ROWS, total: int = TOTAL) -> Model:
+    """A model of every language, from about ``rows`` documents of each, none held out.
+
+    With more than ``total`` / ``rows`` languages each has fewer, 8 at least, so that the sample stays
+    bounded by ``total`` or 8 a language.  Of a language that has longer texts alone, the shortest is learnt.
+    """
+    spark = docs.sparkSession
+    known = docs.select(F.col(doc_id).alias("k"), F.lower(F.col(text).cast("string")).alias("t"), F.col(lang).cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").rlike("\\p{L}") & (F.coalesce(T.crc_rest(F.col("k"), 4), F.lit(0)) != 2))
+    size = F.octet_length("t")
+    sizes = known.groupBy("l").agg(F.count_if(size <= LONGEST).alias("n"), F.min(size).alias("least")).collect()  # a row for each language
+    each = max(8, min(rows, total // max(1, len(sizes))))
     # Each language's documents with the least hash, as large a share as makes the number.
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count")))
-    some = known.join(F.broadcast(sizes), "l").filter(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) < share * (1 << 30)).select("k", "t", "l")
+    share = spark.createDataFrame([(r.l, min(1.0, each / max(1, r.n)), max(LONGEST, r.least)) for r in sizes], "l string, share double, most int")
+    some = known.join(share, "l").filter((size <= F.col("most")) & (F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) < F.col("share") * (1 << 30))).select("k", "t", "l")
 
     def run(batches):
         for batch in batches:
@@ -107,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                     n.append(r[i].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["l", "at", "n"])
 
-    got = sorted(((r.l, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.n, np.float32)) for r in some.mapInArrow(run, "l string, at binary, n binary").collect()), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    got = sorted(((r.l, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.n, np.float32)) for r in some.mapInArrow(T.freed(run), "l string, at binary, n binary").collect()), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     names = sorted({r[0] for r in got})
     df = np.zeros(DIM)
     for _, at, _ in got:
@@ -151,10 +168,10 @@ def identify(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(n)), pa.array(names, pa.string()), pa.array(np.where(ok, p.max(1), 0.0).astype(np.float64))], ["k", "lang_pred", "score"])
                 done += len(n)
 
-    out = src.mapInArrow(run, f"k {src.dtypes[0][1]}, lang_pred string, score double")
+    out = src.mapInArrow(T.freed(run), f"k {src.dtypes[0][1]}, lang_pred string, score double")
     return out.select(F.col("k").alias(doc_id), "lang_pred", "score")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs, train(docs)).select("doc_id", (T.crc_rest(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs)).select("doc_id", F.coalesce(T.crc_rest(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -12,15 +12,15 @@ from .text import crc_rest
 LONGEST = 1 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, text, y) of at most ``rows`` labelled documents that are not held out.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", doc_id: str = "doc_id", longest: int = LONGEST) -> DataFrame:
+    """(id, text, y) of at most ``rows`` labelled documents of at most ``longest`` bytes that are not held out.
 
     The labels are those with the least hash of the id, so they are spread evenly and the same
     whatever the order of rows; with their fixed number they are small enough to broadcast.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & (crc_rest(F.col("id"), 5) != 0))
     some = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t") <= LONGEST)
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t") <= longest)
     return texts.join(F.broadcast(some), "id")
 
 

@@ -21,7 +21,8 @@ from . import text as T
 from .learning import rated, sample, sigmoid
 from .quality_rules import _CLASS, CLASSES
 
-ROWS = 8192
+#: Learnt from: so many documents of so many bytes at most, whose passages take 160 MB at most.
+ROWS, LONGEST = 8192, 1 << 15
 PASSAGE = 512
 HIDDEN, GATE = 24, 12
 _N = len(CLASSES) + 1
@@ -126,15 +127,15 @@ def fit(bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """A model from at most ``rows`` labelled documents; without labels, one that scores a half."""
-    labelled = sample(docs, labels, "quality", rows, text, doc_id).select("id", "t", "y")
+    """A model from at most ``rows`` labelled documents of at most LONGEST bytes; without labels, one that scores a half."""
+    labelled = sample(docs, labels, "quality", rows, text, doc_id, LONGEST).select("id", "t", "y")
 
     def run(batches):
         for batch in batches:
             bags = [x[a:z].tobytes() for x, at in encode(batch.column(1)) for a, z in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["id", "y", "x"])
 
-    got = sorted(labelled.mapInArrow(run, f"id {labelled.dtypes[0][1]}, y int, x binary").collect(), key=lambda r: (r.id, r.y, bytes(r.x)))
+    got = sorted(labelled.mapInArrow(T.freed(run), f"id {labelled.dtypes[0][1]}, y int, x binary").collect(), key=lambda r: (r.id, r.y, bytes(r.x)))
     if not got:
         zero = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {k: np.zeros(s) for k, s in zero.items()})
@@ -158,11 +159,11 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array(y.astype(np.float64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(a.astype(np.float64)))], ["k", "score", "attention"])
                 done += n
 
-    out = src.mapInArrow(run, f"k {src.dtypes[0][1]}, score double, attention array<double>")
+    out = src.mapInArrow(T.freed(run), f"k {src.dtypes[0][1]}, score double, attention array<double>")
     return out.select(F.col("k").alias(doc_id), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "attention")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", (T.crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("attention").alias("n_passages"))
+    return score(docs, model).select("doc_id", F.coalesce(T.crc_rest(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("attention").alias("n_passages"))

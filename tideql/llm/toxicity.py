@@ -2,8 +2,7 @@
 
 A token's score is its log-odds between toxic and other labelled documents under
 a Dirichlet prior (a part for each word, a part in proportion to its frequency), where that is significant, less
-a constant drift.  A word that has no significant odds of its own takes those of its longest prefix
-that has, so forms of a word that were too rare to learn count like the forms that were seen.  One pass over a document finds all its maximal scoring
+a constant drift; words without significant odds cost the drift.  One pass over a document finds all its maximal scoring
 segments (Ruzzo and Tompa).  By extreme-value theory a document of m tokens has K m
 exp(-lambda S) segments of score S or more by chance; lambda solves the score
 equation on clean documents and K is read from their segments.  The evidence of the
@@ -24,10 +23,7 @@ from .learning import logistic, rated, sample, sigmoid
 from .scratch import Scratch
 
 ROWS = 20_000
-VOCABULARY = 20_000
-#: Bytes of a word's prefixes.
-PREFIXES = (6, 5, 4)
-PRIOR, EACH, LEAST_DOCUMENTS, LEAST_Z, DRIFT = 50.0, 0.5, 4, 3.5, 0.5
+PRIOR, EACH, LEAST_DOCUMENTS, LEAST_Z, DRIFT = 50.0, 0.5, 3, 2.5, 0.5
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -65,14 +61,12 @@ class Model:
     bias: float
     drift: float = DRIFT
 
-    def scores(self, keys: np.ndarray) -> np.ndarray:
-        """Of each word; ``keys`` has a row for it, as ``T.prefixes`` gives it."""
-        out, free = np.zeros(len(keys)), np.ones(len(keys), bool)
-        for h in keys.T if len(self.words) else ():
-            at = np.searchsorted(self.words, h).clip(max=len(self.words) - 1)
-            hit = free & (self.words[at] == h)
-            out[hit], free[hit] = self.odds[at[hit]], False
-        return out - self.drift
+    def scores(self, h: np.ndarray) -> np.ndarray:
+        """Of each word, by its hash."""
+        if not len(self.words):
+            return np.full(len(h), -self.drift)
+        at = np.searchsorted(self.words, h).clip(max=len(self.words) - 1)
+        return np.where(self.words[at] == h, self.odds[at], 0.0) - self.drift
 
     def passages(self, h: np.ndarray) -> list[tuple[int, int, float]]:
         """(start, stop, nats beyond chance) of each significant passage."""
@@ -84,35 +78,32 @@ class Model:
 
 
 def _documents(column: pa.Array):
-    """(hashes of words and prefixes, first bytes, end bytes) of each text."""
+    """(hashes, first bytes, end bytes) of the words of each text."""
     buf, offsets, _ = T.utf8(column)
     for lo, hi in T.groups(offsets):
         part = offsets[lo : hi + 1] - offsets[lo]
         b = buf[offsets[lo] : offsets[hi]]
         h, first, end, at = T.words(b, part, T.NOT_LETTER, lower=True)
-        h = T.prefixes(b, h, first, end, PREFIXES)
         for i in range(hi - lo):
             yield h[at[i] : at[i + 1]], first[at[i] : at[i + 1]] - part[i], end[at[i] : at[i + 1]] - part[i]
 
 
 def _word_counts(labelled: DataFrame) -> DataFrame:
-    """(h, whole, toxic, clean): the numbers of documents that have a word, or else a prefix."""
+    """(h, toxic, clean): the numbers of documents that have a word."""
 
     def run(batches):
         for batch in batches:
-            y, parts, marks, whole = np.asarray(batch.column(2)), [], [], []
-            for i, (keys, _, _) in enumerate(_documents(batch.column(1))):
-                u = np.unique(keys[:, 0])
-                v = np.setdiff1d(keys[:, 1:], u)
-                parts += [u, v]
-                whole += [np.ones(len(u), bool), np.zeros(len(v), bool)]
-                marks.append(np.full(len(u) + len(v), y[i], np.int64))
-            h, y, whole = (np.concatenate(x or [np.zeros(0, kind)]) for x, kind in ((parts, np.uint64), (marks, np.int64), (whole, bool)))
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            y, parts, marks = np.asarray(batch.column(2)), [], []
+            for i, (h, _, _) in enumerate(_documents(batch.column(1))):
+                u = np.unique(h)
+                parts.append(u)
+                marks.append(np.full(len(u), y[i], np.int64))
+            h, y = (np.concatenate(x or [np.zeros(0, kind)]) for x, kind in ((parts, np.uint64), (marks, np.int64)))
+            u, inverse = np.unique(h, return_inverse=True)
             toxic = np.bincount(inverse, y, len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(whole[first]), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(u)) - toxic)], ["h", "whole", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(u)) - toxic)], ["h", "toxic", "clean"])
 
-    return labelled.mapInArrow(run, "h long, whole boolean, toxic long, clean long").groupBy("h", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return labelled.mapInArrow(T.freed(run), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _rate(odds: np.ndarray, clean_hits: np.ndarray, others: float, drift: float) -> float:
@@ -130,14 +121,14 @@ def _rate(odds: np.ndarray, clean_hits: np.ndarray, others: float, drift: float)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """A model from at most ``rows`` labelled documents and ``VOCABULARY`` words.
+    """A model from at most ``rows`` labelled documents, with odds for every word that has significant ones in them.
 
     Without both labels the score is the share of toxic documents (a half if there are none).
     """
     scratch = Scratch(docs.sparkSession)
     labelled = scratch.table(sample(docs, labels, "toxic", rows, text, doc_id).select("id", F.col("t"), "y"))
     counts = scratch.table(_word_counts(labelled))
-    n1, n0, kinds, tokens = (x or 0 for x in counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*"), F.sum(F.when(F.col("whole"), F.col("clean")))).first())
+    n1, n0, kinds = (x or 0 for x in counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first())
     d1, d0 = (x or 0 for x in labelled.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not d1 or not d0 or not n1 or not n0:
         base = (d1 + 1) / (d1 + d0 + 2)
@@ -147,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text: str = "tex
     odds = F.log((F.col("toxic") + prior) / (n1 + whole - F.col("toxic") - prior)) - F.log((F.col("clean") + prior) / (n0 + whole - F.col("clean") - prior))
     z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     top = counts.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).select("h", "clean", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= LEAST_Z)
-    found = top.orderBy(F.desc(F.abs("z")), "h").limit(VOCABULARY).collect()
+    found = top.collect()
     words = np.array([r.h for r in found], np.int64).view(np.uint64)
     order = np.argsort(words)
     odds_, clean = np.array([r.odds for r in found])[order], np.array([float(r.clean) for r in found])[order]
     model = Model(words[order], odds_, 1.0, 1.0, 1.0, 0.0)
-    model.rate = _rate(odds_, clean, max(tokens - clean.sum(), 1.0), model.drift) if len(found) else 1.0
+    model.rate = _rate(odds_, clean, max(n0 - clean.sum(), 1.0), model.drift) if len(found) else 1.0
 
     def run(batches):
         for batch in batches:
@@ -162,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text: str = "tex
                 n.append(len(h))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["y", "n", "s"])
 
-    seen = labelled.mapInArrow(run, "y int, n long, s array<double>").collect()
+    seen = labelled.mapInArrow(T.freed(run), "y int, n long, s array<double>").collect()
     clean_segments = np.array([x for r in seen if not r.y for x in r.s])
     if len(clean_segments):
         middle = np.median(clean_segments)
@@ -194,11 +185,11 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("nats", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(found, kind)], ["k", "score", "passages"])
 
-    out = src.mapInArrow(run, f"k {src.dtypes[0][1]}, score double, passages array<struct<start:long,stop:long,nats:double>>")
+    out = src.mapInArrow(T.freed(run), f"k {src.dtypes[0][1]}, score double, passages array<struct<start:long,stop:long,nats:double>>")
     return out.select(F.col("k").alias(doc_id), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", (T.crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+    return score(docs, model).select("doc_id", F.coalesce(T.crc_rest(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))

@@ -44,7 +44,7 @@ def test_contamination_against_brute_force(spark):
     docs += [(100, None), (101, ""), (102, "!!"), (103, items[-1][1].upper() + " " + "pad " * 3000)]
     df = spark.createDataFrame([Row(doc_id=i, text=t, x=1, gram=2, print=3) for i, t in docs]).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", D.F.lit(1))
-    for block in (D.BLOCK, 40):
+    for block in (D.BLOCK, 12_000):
         got = {r.doc_id: (r.n_words, r.n_hit, {j for s in r.spans for j in range(s.start, s.stop)}, r["items"], r.contaminated) for r in D.contamination(df, bench, block=block).collect()}
         assert got == brute_hits(docs, items, 13)
 
@@ -59,13 +59,23 @@ def test_contamination_edges(spark):
     assert D.contamination(df.limit(0), bench).count() == 0
 
 
+def test_clashing_names(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(13)))], "item_id long, text string")
+    names = ["_i", "_p", "_s", "_c", "row", "id", "print", "of", "its", "new", "spans", "contaminated", "norm", "gram"]
+    texts = {1: "clean", 2: " ".join(f"b{i}" for i in range(13)), 3: " ".join(["pad"] * 400 + [f"b{i}" for i in range(13)])}
+    df = spark.createDataFrame([(i, t, *([i] * len(names))) for i, t in texts.items()], ["doc_id", "text", *names])
+    out = D.drop_contaminated(df, bench)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "clean", *([1] * len(names))), (3, "pad " * 400, *([3] * len(names)))]
+
+
 def brute_scan(text):
     w = words(text)
     at = [(i, label) for p, label in L.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     share, labels = 0.0, {x for _, x in at}
-    for label, t in L.template_sets():
-        for i in range(0, len(w), L.STEP):
-            n = len(set(t) & set(w[i : i + L.BLOCK]))
+    for label, t, block in L.template_sets():
+        for i in range(len(w)) if 100 * len(set(t) & set(w)) >= L.PERCENT * len(t) else ():
+            n = len(set(t) & set(w[i : i + block]))
             if 100 * n >= L.PERCENT * len(t):
                 share, labels = max(share, n / len(t)), labels | {label}
     places = [i for i, _ in at]
@@ -86,3 +96,18 @@ def test_scan_against_brute_force(spark):
     assert got == {i: brute_scan(t) for i, t in enumerate(texts)}
     assert sum(bool(x[5]) for x in got.values()) > 30
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_scan_finds_a_worn_template_at_every_offset(spark):
+    """Wherever it stands, with words missing and others in between."""
+    rng = random.Random(8)
+    label, t = max(L.TEMPLATES, key=lambda x: len(x[1]))
+    w = []
+    for x in t.split(" "):
+        w += [x] * (rng.random() > 0.05) + ["other"] * (rng.random() < 0.4)
+    df = spark.createDataFrame([Row(doc_id=i, text=" ".join(["pad"] * i + w + ["pad"] * 100)) for i in range(70)]).repartition(2)
+    assert {r.labels for r in L.scan(df).collect()} == {brute_scan(" ".join(w))[5]}
+    assert label in brute_scan(" ".join(w))[5]
+    own = [("own", " ".join(f"t{i}" for i in range(150)))]  # a template of a user, longer than any fixed block
+    got = L.scan(spark.createDataFrame([Row(doc_id=1, text="x " * 7 + " ".join(f"T{i}" for i in range(20, 145)))]), templates=own).first()
+    assert got.labels == "own" and abs(got.score - 125 / 150) < 1e-9

@@ -15,9 +15,10 @@ def _ends(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) for every node that is not its component's smallest; v is the smallest.
 
-    ``links`` has two columns of ids.  Each step joins edges with a partially aggregated minimum,
-    so a hub is split by the skew join and no group is gathered; the number of steps is
-    logarithmic in a component's length.
+    ``links`` has two columns of ids of any type with an order.  The smallest neighbours are partially
+    aggregated and written, which leaves plain joins: a hub, on which a third of all edges may hang, is
+    split by Spark's skew join, and no group is gathered.  The number of steps is logarithmic in a
+    component's length.
     """
     a, b = links.columns
     edges = scratch.table(_ends(links.select(F.col(a).alias("u"), F.col(b).alias("v"))))
@@ -28,12 +29,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _ends(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        after = scratch.table(_ends(small.select("v", "m").toDF("u", "v").union(least.toDF("u", "v"))))
-        scratch.drop(edges)
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.table(_ends(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        smallest = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(smallest, "u")
+        after = scratch.table(_ends(small.select("v", "m").toDF("u", "v").union(smallest.toDF("u", "v"))))
+        scratch.drop(edges, least, large, smallest)
         edges, now = after, state(after)
         if now == before:
             break

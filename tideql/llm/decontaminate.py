@@ -4,8 +4,8 @@ The benchmark's n-grams are normalised word windows.  Each window is anchored at
 its longest pair of neighbouring words, and the windows are a broadcast hash
 table keyed by that pair: as the words of a document pass, a place whose pair is
 in the table is verified by comparing the whole window's text, so a hit is exact
-and no row is shuffled before it is one.  A table is broadcast in blocks of
-``block`` windows at most; a larger benchmark takes more passes.
+and no row is shuffled before it is one.  A table is broadcast in blocks of about
+``block`` bytes; a larger benchmark takes more passes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .wordlists import SQL_WORDS, listed, normal
 
-BLOCK = 200_000
+#: Bytes of windows in a broadcast table, and what a row of it takes besides its text.
+BLOCK, ROW = 48 << 20, 128
 
 #: What stands before a word, and a text's parts: each word with what stands before it, then what stands after the last.
 GAP = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -43,22 +44,25 @@ def _anchored(grams: DataFrame) -> DataFrame:
 def find_hits(docs: DataFrame, grams: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(id, print, start, stop, gram) of every occurrence of a window in ``docs`` (id, print, norm)."""
     table = scratch.table(_anchored(grams))
-    size, lone = table.agg(F.count("*"), F.count_if(F.col("y").isNull())).first()
+    size, lone = table.agg(F.sum(F.octet_length("gram") + ROW), F.count_if(F.col("y").isNull())).first()
+    parts = -(-(size or 0) // block)
     places = docs.select("id", "print", listed(F.col("norm")).alias("w")).select("id", "print", "w", F.posexplode("w").alias("p", "a"))
     pairs = places.withColumn("b", F.get("w", F.col("p") + 1))
     found = []
-    for i in range(-(-size // block)):
-        part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(-(-size // block))) == i)
+    for i in range(parts):
+        part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == i)
         whole = F.array_join(F.slice("w", F.col("p") - F.col("off") + 1, F.col("len")), " ") == F.col("gram")
         on = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("p") >= F.col("off")) & F.when(F.col("p") >= F.col("off"), whole)
         found.append(pairs.join(F.broadcast(part.filter("y is not null")), on))
         if lone:
             found.append(pairs.join(F.broadcast(part.filter("y is null")), F.col("a") == F.col("x")))
     if not found:
-        found = [pairs.crossJoin(table.limit(0)).limit(0)]
+        return scratch.table(docs.filter(F.lit(False)).select("id", "print", F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("gram")))
     start = F.col("p") - F.col("off")
     hits = reduce(DataFrame.union, [x.select("id", "print", start.alias("start"), (start + F.col("len")).alias("stop"), "gram") for x in found])
-    return scratch.table(hits.distinct())
+    out = scratch.table(hits.distinct())
+    scratch.drop(table)
+    return out
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 13, share: int = 20, block: int = BLOCK) -> DataFrame:
@@ -109,17 +113,23 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", d
     is judged as if it had come so, until no row has a hit.  A column n_chars is set to the new
     text's length where text was cut.  Rows without a hit stay as they are.
     """
-    scratch, done = Scratch(df.sparkSession), []
+    scratch, done, names = Scratch(df.sparkSession), [], df.columns
+
+    def rows(d: DataFrame, new: dict[str, Column]) -> DataFrame:
+        return d.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
     while True:
         hit = contamination(df, benchmark, text, doc_id, **how).filter("n_hit > 0")
-        hit = scratch.table(hit.select(F.col(doc_id).alias("_i"), F.col("print").alias("_p"), F.col("spans").alias("_s"), F.col("contaminated").alias("_c")).distinct())
-        on = df[doc_id].eqNullSafe(hit["_i"]) & F.xxhash64(df[text].cast("string")).eqNullSafe(hit["_p"])
-        done.append(df.join(hit, on, "left_anti"))
-        new = {text: _without(F.col(text).cast("string"), F.col("_s")).cast(df.schema[text].dataType)}
-        cut = df.join(hit.filter("not _c"), on).withColumns(new)
-        if "n_chars" in df.columns:
-            cut = cut.withColumn("n_chars", F.char_length(F.col(text).cast("string")).cast(df.schema["n_chars"].dataType))
-        df = scratch.table(cut.select(*df.columns))
+        hit = scratch.table(hit.select(F.col(doc_id).alias("of"), F.col("print").alias("its"), "spans", "contaminated").distinct())
+        # The whole row goes along as one column, so that its names may be any.
+        whole = df.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("print"))
+        on = F.col("id").eqNullSafe(F.col("of")) & F.col("print").eqNullSafe(F.col("its"))
+        done.append(rows(whole.join(hit, on, "left_anti"), {}))
+        cut = whole.join(hit.filter("not contaminated"), on).select("row", _without(F.col("row").getField(text).cast("string"), F.col("spans")).alias("new"))
+        new = {text: F.col("new").cast(df.schema[text].dataType)}
+        if "n_chars" in names:
+            new["n_chars"] = F.char_length("new").cast(df.schema["n_chars"].dataType)
+        df = scratch.table(rows(cut, new))
         if df.isEmpty():
             return reduce(DataFrame.union, done)
 

@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -30,8 +30,8 @@ from .scratch import Scratch
 
 #: Words of 64 bits in the bitmap of a member's differences.
 BITS = 4
-#: Bits of the filter of documents to compare: 8 MB, sent to every executor.
-FILTER = 1 << 26
+#: Bits of the filter of documents to compare, for each of them, at least and at most; it is sent to every executor.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 29
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -85,34 +85,40 @@ def signatures(docs: DataFrame, k: int, m: int, t: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), n, pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), h], ["id", "n", "f1", "f2", "h"])
                 at += len(sets)
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, h array<long>")
+    return docs.select("id", "t").mapInArrow(T.freed(run), "id long, n long, f1 long, f2 long, h array<long>")
 
 
-def _places(ids: str) -> list:
+def _places(ids: str, bits: int) -> list:
     """The filter's bits of an id."""
-    return [F.pmod(F.xxhash64(ids, F.lit(j)), F.lit(FILTER)) for j in range(4)]
+    return [F.pmod(F.xxhash64(ids, F.lit(j)), F.lit(bits)) for j in range(4)]
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``FILTER`` bits, whatever the number of ids; what it lets through in error a join drops."""
-    places = ids.select(F.explode(F.array(*_places("id"))).alias("p"))
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter; what it lets through in error a join drops."""
+    places = ids.select(F.explode(F.array(*_places("id", bits))).alias("p"))
     word = F.shiftright("p", 6).cast("int").alias("w")
     words = places.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
-    out = np.zeros(FILTER // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[np.asarray(words["w"])] = np.asarray(words["b"])
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s): the sets of the documents in ``ids`` and of a few others.  Texts aren't shuffled: they are dropped where they are read."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
+def _sets(docs: DataFrame, ids: DataFrame, k: int, most: int = FILTER_MOST) -> DataFrame:
+    """(id, s): the sets of the documents in the table ``ids`` and of a few others.
+
+    Texts aren't shuffled but dropped where they are read, by a filter of ``FILTER_EACH`` bits for each
+    id.  Where that would be over ``most`` bits, a join by id takes the filter's place.
+    """
+    bits = max(FILTER_LEAST, 1 << (FILTER_EACH * ids.count()).bit_length())
+    some = docs.select("id", "t", *_places("id", bits)) if bits <= most else docs.join(ids, "id", "left_semi").select("id", "t")
+    filtered = docs.sparkSession.sparkContext.broadcast(_filter(ids, bits)) if bits <= most else None
 
     def run(batches):
         for batch in batches:
             ok = np.ones(batch.num_rows, bool)
-            for j in range(4):
+            for j in range(4) if filtered is not None else ():
                 p = np.asarray(batch.column(2 + j))
-                ok &= bits.value[p >> 6] >> (p & 63) & 1 == 1
+                ok &= filtered.value[p >> 6] >> (p & 63) & 1 == 1
             some, at = batch.filter(pa.array(ok)), 0
             for sets in shingle_sets(some.column(1), k) if some.num_rows else ():
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -120,27 +126,27 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(at, len(sets)), s], ["id", "s"])
                 at += len(sets)
 
-    return docs.select("id", "t", *_places("id")).mapInArrow(run, "id long, s array<long>")
+    return some.mapInArrow(T.freed(run), "id long, s array<long>")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, c): a's set less c's (more), c's less a's (less), both sizes, and whether they are linked; a table."""
-    ids = pairs.select("a").union(pairs.select("c")).distinct().toDF("id")
-    sets = scratch.table(_sets(docs, ids, k))
-    once = sets.dropDuplicates(["id"])
-    both = pairs.join(once.toDF("a", "sa"), "a").join(once.toDF("c", "sc"), "c")
+    ids = scratch.table(pairs.select("a").union(pairs.select("c")).distinct().toDF("id"))
+    # Repeated rows go before the joins, so that these are plain and a centre with most members can be split.
+    sets = scratch.table(_sets(docs, ids, k).dropDuplicates(["id"]))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("c", "sc"), "c")
     both = both.select("a", "c", F.size("sa").alias("n"), F.size("sc").alias("nc"), F.array_except("sa", "sc").alias("more"), F.array_except("sc", "sa").alias("less"))
     union = F.col("nc") + F.size("more")
     out = scratch.table(both.withColumn("linked", 100 * (F.col("n") - F.size("more")) >= percent * union))
-    scratch.drop(sets)
+    scratch.drop(sets, ids)
     return out
 
 
-def _ranked(compared: DataFrame, members: DataFrame) -> DataFrame:
+def _ranked(compared: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """``members`` with their differences from the centre, each as (f, x): the number of members of the bucket that have it, and the difference; rarest first."""
     side = lambda c, m: F.transform(c, lambda x: F.struct(F.lit(m).alias("m"), x.alias("x")))
     tokens = compared.select("c", "a", F.explode(F.concat(side("more", True), side("less", False))).alias("t")).select("c", "a", "t.m", "t.x")
-    known = tokens.groupBy("c", "m", "x").agg(F.count("*").cast("int").alias("f")).filter("f > 1")
+    known = scratch.table(tokens.groupBy("c", "m", "x").agg(F.count("*").cast("int").alias("f")).filter("f > 1"))
     tokens = tokens.join(known, ["c", "m", "x"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
     listed = lambda m: F.array_sort(F.collect_list(F.when(F.col("m") == m, F.struct("f", "x"))))
     members = members.join(tokens.groupBy("c", "a").agg(listed(True).alias("more"), listed(False).alias("less")), ["c", "a"])
@@ -162,17 +168,18 @@ def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     such a share cannot miss, and the share is then counted in full.
     """
     groups = compared.groupBy("c").agg(F.count("*").alias("g"), F.count_if(~F.col("linked")).alias("r")).filter("g > 1 and r > 0").select("c")
+    groups = scratch.table(groups)  # as all that is aggregated before a join: what has most members can be split then
     known = compared.filter("linked").select("a", "c")
     roots = components(known, scratch)
     cost, free = 100 * F.size("less") + percent * F.size("more"), (100 - percent) * F.col("nc")
     # Two members that are both nearest to one centre are looked at in that centre's buckets alone.
-    nearest = compared.groupBy("a").agg(F.min_by("c", cost / free).alias("main"))
+    nearest = scratch.table(compared.groupBy("a").agg(F.min_by("c", cost / free).alias("main")))
     small = compared.select("c", "a", "n", "linked", cost.alias("cost"), free.alias("free"))
     members = small.join(groups, "c").join(nearest, "a").join(roots, F.col("a") == F.col("u"), "left").drop("u")
     members = members.select(*small.columns, "main", F.coalesce("v", "a").alias("root"), F.floor(4 * F.col("cost") / F.col("free")).cast("int").alias("u"))
-    members = scratch.table(_ranked(compared, scratch.table(members)))
+    members = scratch.table(_ranked(compared, scratch.table(members), scratch))
     # By classes of cost, a quarter of the free cost wide, the share that two members need is known well enough for short prefixes.
-    kinds = members.groupBy("c", "u").agg(F.max(~F.col("linked")).alias("apart"))
+    kinds = scratch.table(members.groupBy("c", "u").agg(F.max(~F.col("linked")).alias("apart")))
 
     def prefixes(rows: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
         rows = rows.withColumnRenamed("u", own).join(others.select("c", F.col("u").alias(other)), "c")
@@ -203,16 +210,19 @@ def _rest(compared: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80, m: int = 16, t: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``df``.
+    """doc_id, n_shingles, component_id, kept, print for each row of ``df``.
 
     Words are runs without white space, A-Z lowered.  A null or wordless text has an empty set
     and is linked with nothing; fewer than k words are one shingle.  A row without an id is never
     linked: its component is null and it is kept.  Rows that repeat an id with the same text are
-    one document, returned as often as given; columns of other names are not looked at.
+    one document, returned as often as given.  Texts that share an id are documents of their own,
+    told apart by ``print``, a hash of the text (null where each id has one): component_id is the smallest id of the component,
+    and of several texts with that id the one with the smallest print is kept.  Columns of other
+    names are not looked at.
     """
     scratch = Scratch(df.sparkSession)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    sig = scratch.table(signatures(docs, k, m, t))
+    docs, extra = _keyed(df, text, doc_id, scratch)
+    sig = scratch.table(signatures(docs.select("id", "t"), k, m, t))
     live = sig.filter("n > 0 and id is not null")
     prints = ["n", "f1", "f2"]
     # A class may have most documents.  Its smallest id is partially aggregated; as a table of its own it leaves a plain join, which Spark splits where it is skewed.
@@ -221,35 +231,66 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     scratch.drop(classes)
 
     sub = member.filter("h is not null").dropDuplicates(["id"]).select("id", F.posexplode("h").alias("p", "x"))
-    shared = sub.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("x", "of")
+    # Tables of their own for the same reason: a sub-hash or a key that most classes have is one row there.
+    shared = scratch.table(sub.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("of")).filter("lo < hi").select("x", "of"))
     parts = sub.join(shared, "x").groupBy("id").agg(F.collect_list(F.struct("p", "x")).alias("l"), F.sum("of").alias("score"))
     side = lambda low: F.transform(F.filter("l", lambda e: (e["p"] < m) == F.lit(low)), lambda e: e["x"])
     # The centre of a bucket is the member whose sub-hashes most documents have: what the copies were made of, or close to it.
     rank = F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     parts = parts.select("id", rank.alias("rank"), side(True).alias("a"), side(False).alias("b")).filter("size(a) > 0 and size(b) > 0")
     keys = scratch.table(parts.select("id", "rank", F.explode("a").alias("a"), "b").select("id", "rank", "a", F.explode("b").alias("b")).select("id", "rank", F.xxhash64("a", "b").alias("key")))
-    heads = keys.groupBy("key").agg(F.max_by("id", "rank").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "c")
+    heads = scratch.table(keys.groupBy("key").agg(F.max_by("id", "rank").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "c"))
     pairs = scratch.table(keys.join(heads, "key").filter("id <> c").select(F.col("id").alias("a"), "c").distinct())
-    scratch.drop(keys)
+    scratch.drop(keys, heads, shared)
 
     compared = _compared(pairs, docs, k, percent, scratch)
     links = _rest(compared, percent, scratch)
     scratch.drop(pairs, compared)
     roots = components(links, scratch)
+    scratch.drop(links)
     linked = member.join(roots, F.col("rep") == F.col("u"), "left").select("id", "n", F.coalesce("v", "rep").alias("c"))
     alone = sig.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("c"))
-    return linked.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
+    found = linked.union(alone)
+    if extra is None:
+        return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"), F.lit(None).cast("int").alias("print"))
+    # Back to ids and prints: a component's first is its smallest id, and of this id the smallest print.
+    own = docs.select("id", F.struct(F.col("own").alias("id"), "print").alias("key")).filter("id is not null").distinct()
+    named = scratch.table(found.filter("id is not null").join(own, "id").select("id", "n", "c", "key"))
+    first = scratch.table(named.groupBy("c").agg(F.min("key").alias("first")))
+    out = named.join(first, "c").select(F.col("key.id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("key") == F.col("first")).alias("kept"), F.col("key.print").alias("print"))
+    nameless = sig.filter("id is null").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("print"))
+    return out.union(nameless)
+
+
+def _keyed(df: DataFrame, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(id, t, own, print) of all rows: a number for each document, its own id, and a print of its text.
+
+    The number is the id, but for the further texts of ids that have several, which get numbers of their own beyond all
+    ids.  The second result is a table of these, None without any.
+    """
+    docs = df.select(F.col(doc_id).cast("long").alias("own"), F.col(text).cast("string").alias("t")).withColumn("print", F.hash("t"))
+    several = docs.filter("own is not null").groupBy("own").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("own", "lo")
+    several = scratch.table(several)
+    if several.isEmpty():
+        return docs.select(F.col("own").alias("id"), "t", "own", "print"), None
+    low, high = docs.agg(F.min("own"), F.max("own")).first()
+    further = docs.join(several, "own").filter("print > lo").select("own", "print").distinct()
+    number = F.lit(high + 1) + F.monotonically_increasing_id() if high < 1 << 62 else F.lit(low - 1) - F.monotonically_increasing_id()
+    extra = scratch.table(further.select("own", "print", number.alias("other")))
+    return docs.join(extra, ["own", "print"], "left").select(F.coalesce("other", "own").alias("id"), "t", "own", "print"), extra
 
 
 def keep_one(df: DataFrame, **how) -> DataFrame:
-    """``df`` with one document of each group of near copies, the one with the smallest id."""
-    doc_id = how.get("doc_id", "doc_id")
-    gone = near_duplicates(df, **how).filter("not kept").select(doc_id).distinct()
-    return df.join(gone, doc_id, "left_anti").select(df.columns)
+    """``df`` with one document of each group of near copies, the one with the smallest id; columns may have any names."""
+    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
+    gone = near_duplicates(df, **how).filter("not kept").select(F.col(doc_id).alias("gone"), F.col("print").alias("of")).distinct()
+    whole = df.select(F.col(doc_id).cast("long").alias("id"), F.hash(F.col(text).cast("string")).alias("print"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    same = (F.col("id") == F.col("gone")) & (F.col("of").isNull() | (F.col("of") == F.col("print")))
+    return whole.join(gone, same, "left_anti").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4).drop("print")
 
 
 SQL9 = r"""

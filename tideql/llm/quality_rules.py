@@ -3,7 +3,7 @@
 A document's character-class histogram and its common-word histogram are compared
 with those of languages by Jensen-Shannon distance (base 2, so 0 to 1); the
 nearest language counts.  A histogram is compared only if the document is long
-enough for it.  A language's reference is drawn from all its rows: of each
+enough for it.  A language's reference is drawn from all its rows, those under judgement among them: of each
 character class the median share over documents, which junk of less than half
 does not move; of each common word the mean share over documents that pass the
 base rules.  Both are sums of whole numbers, so the reference does not depend on
@@ -130,7 +130,7 @@ def references(df: DataFrame, text: str, lang: str) -> tuple[np.ndarray, np.ndar
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int32()) for j in (1, 2, 3)), pa.array(list(sums.values()), pa.int64())], ["lang", "kind", "dim", "bin", "n"])
 
-    counts = df.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "lang string, kind int, dim int, bin int, n long")
+    counts = df.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(T.freed(run), "lang string, kind int, dim int, bin int, n long")
     counts = counts.groupBy("lang", "kind", "dim", "bin").agg(F.sum("n").alias("n"))
     parts = counts.groupBy("lang", "kind", "dim").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"), F.sum(F.col("bin") * F.col("n")).alias("shares"))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("bin"))
@@ -184,7 +184,7 @@ def judge(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(at, n) for i in range(len(keep))), *(pa.array(base[:, j].astype(np.int64)) for j in range(5)), pa.array(failed), pa.array(dc), pa.array(dw), pa.array(kept)], [*(f"k{i}" for i in range(len(keep))), *"abcdefghi"])
                 at += n
 
-    found = src.mapInArrow(run, f"{kinds}a long, b long, c long, d long, e long, f boolean, g double, h double, i boolean")
+    found = src.mapInArrow(T.freed(run), f"{kinds}a long, b long, c long, d long, e long, f boolean, g double, h double, i boolean")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(a).alias(b) for a, b in zip("abcdefghi", names, strict=True)])
 
@@ -199,3 +199,21 @@ def filter_documents(df: DataFrame, text: str = "text", lang: str = "lang") -> D
 def op1(spark, sf_dir: str) -> DataFrame:
     found = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def base_counts(spark, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1(spark, sf_dir).drop("kept", "char_distance", "word_distance")
+
+
+SQL_BASE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(l[i : i + 4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 3)) AS i FROM w WHERE len(l) >= 5)),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM k WHERE c > 1) GROUP BY doc_id),
+e AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, x),
+d AS (SELECT doc_id, sum(n - 1) AS n FROM e GROUP BY doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, length(array_to_string(l, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(l) AS base_failed
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+"""

@@ -6,6 +6,7 @@ from . import decontaminate, language, licenses, minhash, quality_mil, quality_r
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
+    "quality_base_counts": quality_rules.base_counts,
     "op2_quality_mil": quality_mil.op2,
     "op3_suffix_array": suffix_array.op3,
     "op4_language": language.op4,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_base_counts": quality_rules.SQL_BASE,
     "op3_suffix_array": suffix_array.SQL3,
     "op7_license_scan": licenses.SQL7,
     "op8_decontaminate": decontaminate.SQL8,

@@ -117,7 +117,7 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
                     column.append(x)
             yield _batch(["lead", "own", "id", "print", "at", "n"], kinds, out)
 
-    return docs.mapInArrow(run, "lead long, own long, id long, print int, at int, n short")
+    return docs.mapInArrow(T.freed(run), "lead long, own long, id long, print int, at int, n short")
 
 
 def _in_order(rows: DataFrame, *columns: str) -> DataFrame:
@@ -166,7 +166,7 @@ def _compared(suffixes: DataFrame) -> DataFrame:
             yield _batch(["id", "print", "at", "n", "kind"], kinds, [[np.array([x])] for x in (*head[2:], EXTEND_COPIED if more else EXTEND)])
 
     order = ("lead", "own", "id", "print", "at")
-    return _in_order(suffixes, *order).select(*order, "n").mapInArrow(run, "id long, print int, at int, n short, kind byte")
+    return _in_order(suffixes, *order).select(*order, "n").mapInArrow(T.freed(run), "id long, print int, at int, n short, kind byte")
 
 
 def _runs(matched: DataFrame, least: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _runs(matched: DataFrame, least: int) -> DataFrame:
                     column.append(c)
             yield _batch(names, kinds, out)
 
-    return matched.mapInArrow(run, "x long, y long, id long, print int, at int, copied byte")
+    return matched.mapInArrow(T.freed(run), "x long, y long, id long, print int, at int, copied byte")
 
 
 def _found(runs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _found(runs: DataFrame) -> DataFrame:
             yield _batch(names, kinds, [[np.array([v])] for v in (*held[:5], before or held[5] > 0, before, True)])
 
     order = ("x", "y", "id", "print", "at")
-    return _in_order(runs, *order).select(*order, "copied").mapInArrow(run, "x long, y long, id long, print int, at int, twice boolean, later boolean, edge boolean")
+    return _in_order(runs, *order).select(*order, "copied").mapInArrow(T.freed(run), "x long, y long, id long, print int, at int, twice boolean, later boolean, edge boolean")
 
 
 def _marks(runs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -261,7 +261,7 @@ def _passages(marks: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans(every), spans(gone), *total], ["id", "print", "spans", "gone", "n", "m"])
 
     packed = marks.groupBy("id", "print").agg(F.collect_list(F.struct("at", "n", F.col("later").cast("byte").alias("later"))).alias("l"))
-    return packed.mapInArrow(run, f"id long, print int, spans {kind}, gone {kind}, n long, m long")
+    return packed.mapInArrow(T.freed(run), f"id long, print int, spans {kind}, gone {kind}, n long, m long")
 
 
 def repeated_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 50) -> DataFrame:
@@ -321,7 +321,7 @@ def cut_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", leas
             yield pa.RecordBatch.from_arrays([*columns, gone.is_valid()], [f"c{i}" for i in range(len(columns))] + ["cut"]).filter(pa.array(keep))
 
     schema = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(df.columns)) + ", cut boolean"
-    out = cuts.mapInArrow(run, schema)
+    out = cuts.mapInArrow(T.freed(run), schema)
     cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
     if "n_chars" in df.columns:
         i = df.columns.index("n_chars")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideql.llm import decontaminate, minhash, quality_rules, sentencepiece_table, suffix_array
-from tideql.llm.scratch import Scratch
+from tideql.llm.scratch import Scratch, scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for _, stage in STAGES:
-        before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        before = docs
+        with scope():
+            docs = scratch.table(stage(spark, docs, sf_dir))
         if hasattr(before, "_tideql_path"):
             scratch.drop(before)
     return docs

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import schedule
 from .functions import AGGREGATES, ANALYTIC
 from .plans.frame import PlanProblem
 from .plans.planner import Planner
@@ -43,6 +44,11 @@ class Rule:
     query: Any = None
     status: str = "stopped"
     checkpoint: str | None = None
+    #: Of rules that share a read: their names, and the stream.
+    group: tuple[str, list[str]] | None = None
+    #: Restarts after errors since it was started, and when the next is due.
+    attempts: int = 0
+    due: float | None = None
 
 
 class Engine:
@@ -148,10 +154,13 @@ class Engine:
         if r.graph:
             from .graph import build
 
-            return build(self, r.graph)
+            return build(self, r.graph, streaming)
+        return self._planner_of(r, streaming).plan(parse(r.sql))
+
+    def _planner_of(self, r: Rule, streaming: bool) -> Planner:
         other = Engine(self.spark, self.properties | r.options)
         other.definitions, other.frames, other.lazy = self.definitions, self.frames, self.lazy
-        return other.planner(r.id, streaming).plan(parse(r.sql))
+        return other.planner(r.id, streaming)
 
     def run(self, rule_id: str) -> None:
         """Do a rule's actions once, over all that its bounded sources have; several actions share the rows."""
@@ -168,10 +177,11 @@ class Engine:
     def start(self, rule_id: str, checkpoint: str, available_now: bool = True):
         """Run a rule as a streaming query; each micro-batch goes to all its actions."""
         r = self.rules[rule_id]
-        df = self.result(r, streaming=True)
+        kept = self._planner_of(r, True).streamed(parse(r.sql)) if r.sql else None
+        df, finish = kept or (self.result(r, streaming=True), lambda batch: batch)
 
         def each(batch: DataFrame, _: int) -> None:
-            batch = batch.persist()
+            batch = finish(batch).persist()
             for action in r.actions:
                 for kind, options in action.items():
                     sinks.write(batch, kind, options)
@@ -179,7 +189,7 @@ class Engine:
 
         writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         r.query = (writer.trigger(availableNow=True) if available_now else writer).start()
-        r.status, r.checkpoint = "running", checkpoint
+        r.status, r.checkpoint, r.group, r.attempts, r.due = "running", checkpoint, None, 0, None
         return r.query
 
     def start_shared(self, source: str, rule_ids: list[str], checkpoint: str, available_now: bool = True):
@@ -205,20 +215,53 @@ class Engine:
         writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         query = (writer.trigger(availableNow=True) if available_now else writer).start()
         for r in rules:
-            r.query, r.status, r.checkpoint = query, "running", checkpoint
+            r.query, r.status, r.checkpoint, r.group, r.attempts, r.due = query, "running", checkpoint, (source, list(rule_ids)), 0, None
         return query
 
     def patrol(self) -> list[str]:
-        """Start again the rules that an error ended and whose restartStrategy has attempts; their names."""
-        again = []
-        for r in self.rules.values():
+        """Start again the rules that an error ended, once their pause is over; their names.
+
+        restartStrategy: ``attempts`` in all, the first after ``delay`` ms, each further one after ``multiplier``
+        times as long, ``maxDelay`` at most.  Rules that share a read are started together.
+        """
+        again: list[str] = []
+        for r in list(self.rules.values()):
             if r.status == "running" and r.query is not None and not r.query.isActive and r.query.exception() is not None:
-                r.status = "failed"
-                if r.options.get("restartStrategy", {}).get("attempts", 0) > 0:
+                how = r.options.get("restartStrategy", {})
+                r.status, r.due = "failed", None
+                if r.attempts < how.get("attempts", 0):
+                    pause = min(how.get("delay", 0) * how.get("multiplier", 1) ** r.attempts, how.get("maxDelay", 30_000))
+                    r.due = time.monotonic() + pause / 1000
+            if r.status == "failed" and r.due is not None and r.due <= time.monotonic():
+                members = self.rules[r.id].group
+                names, done = (members[1], r.attempts + 1) if members else ([r.id], r.attempts + 1)
+                if members:
+                    self.start_shared(members[0], members[1], r.checkpoint)
+                else:
                     self.start(r.id, r.checkpoint)
-                    again.append(r.id)
+                for name in names:
+                    self.rules[name].attempts, self.rules[name].due = done, None
+                again += names
         return again
 
+    def tick(self, now: float | None = None) -> list[str]:
+        """Start and stop rules by their schedules, as of a time in seconds; the names of those that now run.
+
+        ``cron`` (minute hour day month weekday) with ``duration`` starts a rule at each match; ``cronDatetimeRange``
+        lists [begin, end] times outside of which it rests, by itself or beside ``cron``.
+        """
+        now = time.time() if now is None else now
+        for r in self.rules.values():
+            if not (r.options.get("cron") or r.options.get("cronDatetimeRange")):
+                continue
+            due = schedule.due(r.options, now)
+            active = r.query is not None and r.query.isActive
+            if due and not active:
+                self.start(r.id, r.options["checkpoint"], available_now=False)
+            elif not due and active:
+                self.stop(r.id)
+        return [r.id for r in self.rules.values() if r.query is not None and r.query.isActive]
+
     def reset_state(self, rule_id: str) -> None:
         """Forget a stopped rule's offsets and state."""
         r = self.rules[rule_id]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import sampling, windows
 from .plans.compiler import Compiler
 from .plans.frame import WINDOW, Frame, PlanProblem
+from .sources.readers import placed
 from .sql import tree as t
 from .sql.parser import parse_expr, unit_ms
 
@@ -25,8 +26,8 @@ def _alias(text: str) -> tuple[t.Node, str]:
     return node, getattr(node, "name", "value")
 
 
-def _window(df: DataFrame, p: dict) -> DataFrame:
-    unit, size = unit_ms(p.get("unit", "ms").lower()), p["size"]
+def _window(df: DataFrame, p: dict, properties: dict) -> DataFrame:
+    unit, size = unit_ms(p.get("unit", "ms").lower()), p.get("size")
     kind = p["type"].lower().removesuffix("window")
     if kind == "tumbling":
         return windows.tumbling(df, size * unit)
@@ -34,14 +35,18 @@ def _window(df: DataFrame, p: dict) -> DataFrame:
         return windows.hopping(df, size * unit, p["interval"] * unit)
     if kind == "session":
         return windows.sessions(df, p["interval"] * unit, size * unit)
+    df = placed(df)
     if kind == "sliding":
         return windows.sliding(df, size * unit, p.get("interval", 0) * unit, None, "_o")
     if kind == "count":
         return windows.counts(df, size, p.get("interval"), [], [F.col("_ts"), F.col("_o")])
+    if kind == "state":
+        condition = lambda e: None if e is None else Compiler(_frame(df), {}, properties).condition(parse_expr(e))
+        return windows.states(df, condition(p["begin"]), condition(p.get("emit")), [], [F.col("_ts"), F.col("_o")])
     raise PlanProblem(f"unknown window {p['type']!r}")
 
 
-def build(engine, graph: dict) -> DataFrame:
+def build(engine, graph: dict, streaming: bool = False) -> DataFrame:
     """The one result of a graph that reaches a sink, or an operator that nothing follows."""
     nodes, edges = graph["nodes"], graph["topo"]["edges"]
     before: dict[str, list[tuple[str, int | None]]] = {n: [] for n in nodes}
@@ -66,7 +71,7 @@ def build(engine, graph: dict) -> DataFrame:
     def make(name: str):
         node, p = nodes[name], nodes[name].get("props", {})
         if node["type"] == "source":
-            return engine.source(p.get("sourceName", name))[1]
+            return engine.source(p.get("sourceName", name), streaming)[1]
         frames = inputs(name)
         if node["type"] == "sink":
             return frames[0]
@@ -76,7 +81,8 @@ def build(engine, graph: dict) -> DataFrame:
         if kind == "watermark":
             for x in frames[1:]:
                 df = df.unionByName(x, allowMissingColumns=True)
-            return df
+            late = p.get("lateTolerance", engine.properties.get("lateTolerance", 1000))
+            return df.withWatermark("_ts", f"{int(late)} milliseconds") if df.isStreaming and "_ts" in df.columns else df
         if kind == "function":
             node_, label = _alias(p["expr"])
             return df.withColumn(label, comp.column(node_))
@@ -86,7 +92,7 @@ def build(engine, graph: dict) -> DataFrame:
             fields = [f.replace(" ", "") if "(" not in f else f for f in p["fields"]]
             return df.select(*[comp.column(n).alias(a) for n, a in (_alias(f) for f in fields)])
         if kind == "window":
-            return _window(df, p)
+            return _window(df, p, engine.properties)
         if kind == "groupby":
             df = df.select("*")
             df._tideql_groups = p["dimensions"]

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from .analytic import History
 
 TIME, WINDOW = "_ts", "_w"
+#: Gaps in a wide cell, within which sessions are numbered by one task.
+WIDE = 4096
 
 
 def _ms(ms) -> Column:
@@ -63,9 +65,14 @@ def sessions(df: DataFrame, gap: int, longest: int | None = None) -> DataFrame:
     t = F.unix_millis(TIME)
     df = df.withColumns({"_b": F.floor(t / gap), "_c": F.floor(t / longest) if longest else F.lit(0).cast("long")})
     spans = df.groupBy("_b", "_c").agg(F.min(F.unix_millis(TIME)).alias("lo"), F.max(F.unix_millis(TIME)).alias("hi"))
-    line = Window.orderBy("lo")
-    new = (F.col("lo") - F.lag("hi").over(line) > gap) | F.lag("hi").over(line).isNull()
-    spans = spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(line))
+    # In two levels: within wide cells, and from each of these to the next by one row a cell.
+    spans = spans.withColumn("_w2", F.floor(F.col("_b") / WIDE))
+    line, far = Window.partitionBy("_w2").orderBy("lo"), Window.orderBy("_w2")
+    before = spans.groupBy("_w2").agg(F.max("hi").alias("last")).select("_w2", F.lag("last").over(far).alias("before"))
+    spans = spans.join(before, "_w2").withColumn("before", F.coalesce(F.lag("hi").over(line), "before"))
+    spans = spans.withColumn("new", (F.col("before").isNull() | (F.col("lo") - F.col("before") > gap)).cast("int"))
+    runs = spans.groupBy("_w2").agg(F.sum("new").alias("n")).select("_w2", (F.sum("n").over(far) - F.col("n")).alias("runs"))
+    spans = spans.join(runs, "_w2").withColumn("run", F.sum("new").over(line) + F.col("runs")).drop("_w2", "before", "runs")
     if longest:
         spans = spans.join(_cuts(spans.groupBy("run", "_c").agg(F.min("lo").alias("lo")), longest), ["run", "_c"])
     else:
@@ -78,15 +85,14 @@ def sessions(df: DataFrame, gap: int, longest: int | None = None) -> DataFrame:
 def numbered(df: DataFrame, keys: list[Column], order: list[Column], bucket_ms: int = 60_000) -> DataFrame:
     """``_n``: each row's number from 1, by ``order`` within ``keys``; without keys over all rows.
 
-    Over all rows, numbers within time buckets are shifted by the counts of earlier buckets.
+    Numbers within time buckets are shifted by the counts of a key's earlier buckets, so a key with most rows is no task of its own.
     """
-    if keys:
-        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    df = df.withColumn("_b", F.floor(F.unix_millis(TIME) / bucket_ms))
-    sizes = df.groupBy("_b").agg(F.count("*").alias("_c"))
-    before = sizes.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    df = df.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return df.join(before, "_b").withColumn("_n", (F.col("_i") + F.col("_before")).cast("long")).drop("_b", "_i", "_before")
+    df = df.withColumns({"_key": F.struct(*keys, F.lit(0)), "_b": F.floor(F.unix_millis(TIME) / bucket_ms)})
+    sizes = df.groupBy("_key", "_b").agg(F.count("*").alias("_c"))
+    line = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_key", "_b", F.coalesce(F.sum("_c").over(line), F.lit(0)).alias("_before"))
+    df = df.withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_b").orderBy(*order)))
+    return df.join(before, ["_key", "_b"]).withColumn("_n", (F.col("_i") + F.col("_before")).cast("long")).drop("_key", "_b", "_i", "_before")
 
 
 def counts(df: DataFrame, n: int, every: int | None, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -131,7 +137,8 @@ def states(df: DataFrame, begin: Column, emit: Column | None, keys: list[Column]
         history.flush()
         df = history.df.withColumn("_g", F.coalesce(F.col(number), F.lit(0)))
         last = df.groupBy(F.struct(*keys, F.lit(0)).alias("_k")).agg(F.max("_g").alias("_l"))
-        df = df.withColumn("_k", F.struct(*keys, F.lit(0))).join(last, "_k").filter("_g > 0 and _g < _l")
+        # Without keys it is one row, which meets all others where they are.
+        df = df.withColumn("_k", F.struct(*keys, F.lit(0))).join(last if keys else F.broadcast(last), "_k").filter("_g > 0 and _g < _l")
     else:
         stop = flag(emit)
         # A window is open where the last begin or emit row before was a begin row; a row that is both begins and ends one.

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..functions import AGGREGATES, ANALYTIC, SETS
 from ..operators import hits, windows
 from ..operators.analytic import BUCKET_MS, History
+from ..sources.readers import placed
 from ..sql import tree as t
 from ..sql.parser import unit_ms
 from .compiler import Compiler, conjuncts, is_aggregate
@@ -30,23 +31,28 @@ _HITS = {"last_hit_count", "last_hit_time", "last_agg_hit_count", "last_agg_hit_
 
 
 class Planner:
-    """``source(name)`` gives a (kind, DataFrame); a stream's event time is its column ``_ts``, ``_o`` its order of arrival."""
+    """``source(name)`` gives a (kind, DataFrame); a stream's event time is its column ``_ts``; ``_o``, its order of arrival, is added where a rule depends on it."""
 
     def __init__(self, source: Callable[[str], tuple[str, DataFrame]], properties: dict | None = None):
-        self.source, self.properties = source, dict(properties or {})
+        self.source, self.properties, self.ordered = source, dict(properties or {}), True
 
     def plan(self, q: t.Select) -> DataFrame:
         q = self._check(q)
+        calls = {n.name for n in q.walk() if isinstance(n, t.Call)}
+        self.ordered = bool(calls & (ANALYTIC | _HITS | {"changed_cols"})) or q.limit is not None or (q.window is not None and q.window.kind in ("count", "sliding", "state"))
         kind, df = self.source(q.source)
         frame = self._frame(df, q.alias, bool(q.joins))
         q, frame = self._analytic(q, frame)
         names = {f.alias.lower(): f.expr for f in q.items if f.alias}
-        hit = any(isinstance(n, t.Call) and n.name in _HITS for n in (q.window or t.Lit(0)).walk())
         others: dict[str, Frame] = {}
         if q.window:
-            if hit:
+            if any(isinstance(n, t.Call) and n.name in _HITS for n in q.window.walk()):
                 raise PlanProblem("hit functions stand in WHERE or HAVING")
             frame, others = self._windows(q, frame, names)
+        return self._finished(q, frame, names, others)
+
+    def _finished(self, q: t.Select, frame: Frame, names: dict, others: dict[str, Frame]) -> DataFrame:
+        """What follows a rule's windows."""
         for j in q.joins:
             frame = self._join(q, frame, j, others)
         make = lambda fr, **kw: Compiler(fr, names, self.properties, **kw)
@@ -54,6 +60,30 @@ class Planner:
         grouped = bool(q.dims) or any(is_aggregate(f.expr) for f in q.items) or (q.having is not None and is_aggregate(q.having))
         return self._grouped(q, frame, make, names) if grouped else self._rows(q, frame, make, names)
 
+    def streamed(self, q: t.Select) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
+        """Of a rule that depends on earlier rows of a stream: the stream that keeps its state, and what is to be done with each micro-batch of it.
+
+        None for other rules, which Spark can run over a stream as they are planned.
+        """
+        from ..streaming import rules
+
+        if not rules.needed(q, _ROW_STATE | {"changed_cols"}):
+            return None
+        q = self._check(q)
+        if any(isinstance(n, t.Call) and n.name in _HITS for n in q.walk()):
+            raise PlanProblem("hit functions are for bounded rows")
+        if any(self.source(j.source)[0] == "stream" for j in q.joins) or q.window is not None and q.window.kind not in rules.WINDOWS:
+            raise PlanProblem("functions of earlier rows, and windows by count, state or row, are for one stream without time windows")
+        frame = self._frame(self.source(q.source)[1], q.alias, bool(q.joins))
+        names = {f.alias.lower(): f.expr for f in q.items if f.alias}
+        calls = list(dict.fromkeys(n for n in q.walk() if isinstance(n, t.Call) and n.name in _ROW_STATE | {"changed_cols"}))
+        if calls:
+            q, frame = rules.earlier_rows(self, q, frame, calls, names)
+            names = {f.alias.lower(): f.expr for f in q.items if f.alias}
+        if q.window is not None:
+            frame = rules.windowed(self, q, frame, names)
+        return frame.df, lambda batch: self._finished(q, frame.with_df(batch), names, {})
+
     # --- checks
 
     def _check(self, q: t.Select) -> t.Select:
@@ -87,6 +117,7 @@ class Planner:
             visit(f.alias.lower(), ())
 
     def _frame(self, df: DataFrame, alias: str, joined: bool) -> Frame:
+        df = placed(df) if self.ordered else df
         names = [c for c in df.columns if not c.startswith("_")]
         if not joined:
             return Frame(df, tuple((alias, c, c) for c in names))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from .base import table
 
+#: The checksums of the five kinds of events, in hexadecimal, for SQL that has no such function.
+_CRC = " ".join(f"WHEN '{k}' THEN '{zlib.crc32(k.encode()):x}'" for k in ("click", "error", "purchase", "signup", "view"))
 #: Group: table, its key, a rule's prelude of aliases, then (result, call, SQL).
 GROUPS = {
     "fn_string": (
@@ -212,7 +216,8 @@ for _name, (_table, _key, _calls) in GROUPS.items():
 ROWS += [
     ("fn_now", "SELECT event_id, length(now()) = 19 AND length(current_timestamp()) = 19 AND length(local_time()) = 19 AND length(local_timestamp()) = 19 AND length(now(3)) = 23 AS a, length(cur_date()) = 10 AND length(current_date()) = 10 AS b, length(cur_time()) = 8 AND length(current_time()) = 8 AS c, tstamp() > event_time() AS d, rule_start() > 0 AS e FROM events", "SELECT event_id, true AS a, true AS b, true AS c, true AS d, true AS e FROM events"),
     ("fn_random", "SELECT event_id, rand() < 1 AS a, length(newuuid()) AS b, delay(1, value) AS c FROM events", "SELECT event_id, true AS a, 36::BIGINT AS b, value AS c FROM events"),
-    ("fn_hash", "SELECT event_id, crc32(event_type) AS c, length(sha384(event_type)) AS a, length(sha512(event_type)) AS b FROM events", None),
+    ("fn_hash", "SELECT event_id, crc32(event_type) AS c, length(sha384(event_type)) AS a, length(sha512(event_type)) AS b FROM events", f"SELECT event_id, CASE event_type {_CRC} END AS c, 96 AS a, 128 AS b FROM events"),
+    ("fn_digests", "SELECT event_id, md5(event_type) AS m, sha1(event_type) AS s, sha256(event_type) AS t FROM events", "SELECT event_id, md5(event_type) AS m, sha1(event_type) AS s, sha256(event_type) AS t FROM events"),
     ("fn_meta", "SELECT event_id, isnull(meta('topic')) AS a, isnull(mqtt('topic')) AS b FROM events", "SELECT event_id, true AS a, true AS b FROM events"),
     ("fn_parse_json", "SELECT event_id, cast(parse_json(props), 'string') AS j FROM events", "SELECT event_id, replace(props, ' ', '') AS j FROM events"),
 ]

@@ -107,12 +107,13 @@ def downsample_merge_field(spark, sf_dir):
     return out.select("interval_end", F.size("frames").cast("long").alias("n"), F.transform("frames", lambda r: r["event_id"]).alias("ids"))
 
 
-@query("SELECT b * 600000 AS window_start, (SELECT count(*) FROM events WHERE epoch_us(ts) // 600000000 = b) AS c FROM range(2840112, 2840256) t(b)")
+@query("SELECT b * 600000 AS window_start, count(event_id) AS c FROM (SELECT unnest(range(min(epoch_us(ts) // 600000000), max(epoch_us(ts) // 600000000) + 1)) AS b FROM events) LEFT JOIN events ON epoch_us(ts) // 600000000 = b GROUP BY b")
 def tumbling_every_window(spark, sf_dir):
-    """With empty windows, over a day."""
+    """With empty windows, from the first to the last that has rows."""
     found = engine(spark, sf_dir).sql("SELECT window_start() AS a, count(*) AS c FROM events GROUP BY TUMBLINGWINDOW(mi, 10)")
     ends = found.select(F.timestamp_millis("a").alias("window_start"), F.timestamp_millis(F.col("a") + 600_000).alias("window_end"), "c")
-    out = windows.every_window(ends, 1704067200000, 1704153600000, 600_000, 600_000)
+    first, last = found.agg(F.min("a"), F.max("a")).first()
+    out = windows.every_window(ends, first, last + 1, 600_000, 600_000)
     return out.select(F.unix_millis("window_start").alias("window_start"), F.coalesce("c", F.lit(0).cast("bigint")).alias("c"))
 
 
@@ -133,10 +134,41 @@ def ddl_file_stream(spark, sf_dir):
     return e.sql("SELECT o_orderkey AS o, o_totalprice AS p FROM o2 WHERE o_totalprice > 400000")
 
 
-@query("SELECT doc_id, 'doc ' || doc_id || ' in ' || coalesce(lang, '') AS value FROM documents WHERE lang = 'fr'")
+@query("SELECT 'doc ' || doc_id || ' in ' || coalesce(lang, '') AS value FROM documents")
 def sink_template(spark, sf_dir):
-    df = engine(spark, sf_dir).sql("SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
-    return df.select("doc_id", sinks.template(df, "doc {{.doc_id}} in {{.lang}}").alias("value"))
+    """A rule's rows through a template into a topic, and from there into another rule."""
+    e = engine(spark, sf_dir)
+    sinks.write(e.sql("SELECT doc_id, lang FROM documents"), "memory", {"topic": "texts", "dataTemplate": "doc {{.doc_id}} in {{.lang}}"})
+    e.sql('CREATE STREAM texts () WITH (DATASOURCE="texts", TYPE="memory")')
+    return e.sql("SELECT value FROM texts")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def payload_json(spark, sf_dir):
+    """Rows packed as JSON in one column, and decoded from it beside another."""
+    df = engine(spark, sf_dir).source("events")[1].select("event_id", F.to_json(F.struct("user_id", "value")).alias("payload"))
+    return readers.decode(df, "payload", "json", "struct<user_id: bigint, value: double>").select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, event_type || '-' || k AS n FROM events, (VALUES (0), (1)) v(k)")
+def payload_array(spark, sf_dir):
+    """An array of objects in a payload is a row for each."""
+    df = engine(spark, sf_dir).source("events")[1].select("event_id", F.to_json(F.array(*[F.struct(F.concat("event_type", F.lit(f"-{k}")).alias("n")) for k in (0, 1)])).alias("payload"))
+    return readers.decode(df, "payload", "json", "array<struct<n: string>>").select("event_id", "n")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def payload_delimited(spark, sf_dir):
+    df = engine(spark, sf_dir).source("events")[1].select("event_id", F.to_csv(F.struct("event_type", "value")).alias("payload"))
+    return readers.decode(df, "payload", "delimited", "event_type string, value double").select("event_id", "event_type", "value")
+
+
+@query("SELECT event_id, event_type || ' & more=' AS t FROM events")
+def urlencoded_rows(spark, sf_dir):
+    df = engine(spark, sf_dir).source("events")[1]
+    text = F.concat(F.lit("event_id="), "event_id", F.lit("&t="), F.url_encode(F.concat("event_type", F.lit(" & more="))))
+    schema = spark.createDataFrame([], "event_id bigint, t string").schema
+    return readers.urlencoded(df.select(text.alias("value")), "value", schema)
 
 
 @query("SELECT event_id, value FROM (SELECT DISTINCT ON (user_id) user_id, event_id, value, event_type FROM events ORDER BY user_id, ts DESC) WHERE event_type <> 'error'")
@@ -160,7 +192,7 @@ def dedup_trigger(spark, sf_dir):
 
 @query(None)
 def udf_geohash(spark, sf_dir):
-    return engine(spark, sf_dir).sql("SELECT event_id, geohashEncode(value - 20, user_id - 75.0) AS g, geohashDecode(geohashEncode(value - 20, user_id - 75.0))->latitude AS lat, geohashNeighbor(geohashEncode(value - 20, user_id - 75.0), 'North') AS n FROM events WHERE value < 100")
+    return engine(spark, sf_dir).sql("SELECT event_id, geohashEncode(value - 20, user_id - 75.0) AS g, geohashDecode(geohashEncode(value - 20, user_id - 75.0))->latitude AS lat, geohashNeighbor(geohashEncode(value - 20, user_id - 75.0), 'North') AS n FROM events")
 
 
 @query("SELECT event_type, count(*) + 1 AS c FROM events GROUP BY event_type")

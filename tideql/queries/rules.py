@@ -36,7 +36,7 @@ ROWS = [
     ("invisible", "SELECT event_id, value * 3 AS t INVISIBLE, t + 1 AS u FROM events", "SELECT event_id, value * 3 + 1 AS u FROM events"),
     ("json_access", "SELECT event_id, cast(props->k, 'bigint') AS k FROM events WHERE cast(props->k, 'bigint') > 50", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50"),
     ("array_index", "SELECT vec_id, embedding[0] AS first, embedding[-1] AS last, cardinality(embedding[1:4]) AS n FROM embeddings", "SELECT vec_id, embedding[1] AS first, embedding[-1] AS last, 3::BIGINT AS n FROM embeddings"),
-    ("unnest", "SELECT vec_id, unnest(embedding[0:3]) AS x FROM embeddings WHERE label = 1", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings WHERE label = 1"),
+    ("unnest", "SELECT vec_id, unnest(embedding[0:3]) AS x FROM embeddings", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings"),
     ("unnest_pairs", "SELECT conv_id, turn, unnest(obj_to_kvpair_array(object_construct('r', role, 'n', cast(turn, 'string')))) AS kv FROM conversations", "SELECT conv_id, turn, 'r' AS key, role AS value FROM conversations UNION ALL SELECT conv_id, turn, 'n', turn::VARCHAR FROM conversations"),
     # --- joins
     ("join_inner", "SELECT o_orderkey, c_name FROM orders INNER JOIN customer ON orders.o_custkey = customer.c_custkey WHERE o_totalprice > 200000", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000"),
@@ -58,6 +58,8 @@ ROWS = [
     ("agg_percentile_cont", "SELECT event_type, percentile_cont(value, 0.9) AS p FROM events GROUP BY event_type", "SELECT event_type, CASE WHEN r = floor(r) THEN l[r::INT] WHEN r > 1 THEN (l[floor(r)::INT] + l[floor(r)::INT + 1]) / 2 END AS p FROM (SELECT event_type, list(value ORDER BY value) AS l, 0.9::DOUBLE * count(*) AS r FROM events GROUP BY event_type)"),
     ("agg_percentile_disc", "SELECT event_type, percentile_disc(value, 0.9) AS p FROM events GROUP BY event_type", "SELECT event_type, l[greatest(1, ceil(0.9::DOUBLE * len(l)))::INT] AS p FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events GROUP BY event_type)"),
     ("agg_collect", f"SELECT user_id, collect({V}) AS l FROM events GROUP BY user_id", f"SELECT user_id, list({V} ORDER BY ts) AS l FROM events GROUP BY user_id"),
+    ("agg_inc_collect", f"SELECT user_id, inc_collect({V}) AS l FROM events GROUP BY user_id", f"SELECT user_id, list({V} ORDER BY ts) AS l FROM events GROUP BY user_id"),
+    ("agg_inc_merge", "SELECT user_id, cardinality(items(inc_merge_agg(object_construct(event_type, event_id)))) AS n FROM events GROUP BY user_id", "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id"),
     ("agg_last_value", f"SELECT event_type, last_value(value, false) AS v, last_value({V}, true) AS w FROM events GROUP BY event_type", f"SELECT event_type, arg_max(value, ts) AS v, arg_max({V}, ts) FILTER ({V} IS NOT NULL) AS w FROM events GROUP BY event_type"),
     ("agg_merge", "SELECT user_id, cardinality(items(merge_agg(object_construct(event_type, event_id)))) AS n, merge_agg(object_construct(event_type, event_id))->click AS c FROM events GROUP BY user_id", "SELECT user_id, count(DISTINCT event_type) AS n, arg_max(event_id, ts) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id"),
     ("deduplicate_count", "SELECT user_id, cardinality(deduplicate(event_type, true)) AS n FROM events GROUP BY user_id", "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY user_id"),
@@ -72,8 +74,8 @@ ROWS = [
     ("agg_in_where", "SELECT event_id, value FROM events WHERE value > avg(value) GROUP BY TUMBLINGWINDOW(dd, 1)", "SELECT event_id, value FROM (SELECT *, avg(value) OVER (PARTITION BY epoch_ms(ts) // 86400000) AS a FROM events) WHERE value > a"),
     # --- order, limit, numbers
     ("order_limit", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10"),
-    ("order_nulls_last", f"SELECT event_id, {V} AS v FROM events ORDER BY v DESC, event_id LIMIT 6000", f"SELECT event_id, {V} AS v FROM events ORDER BY v DESC NULLS LAST, event_id LIMIT 6000"),
-    ("order_nulls_last_ascending", f"SELECT event_id, {V} AS v FROM events ORDER BY v, event_id LIMIT 6000", f"SELECT event_id, {V} AS v FROM events ORDER BY v NULLS LAST, event_id LIMIT 6000"),
+    ("order_nulls_last", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {V} DESC, event_id) AS r FROM events", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {V} DESC NULLS LAST, event_id) AS r FROM events"),
+    ("order_nulls_last_ascending", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {V}, event_id) AS r FROM events", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {V} NULLS LAST, event_id) AS r FROM events"),
     ("limit_per_window", "SELECT event_id, value FROM events GROUP BY TUMBLINGWINDOW(dd, 1) ORDER BY value DESC, event_id LIMIT 3", "SELECT event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY epoch_ms(ts) // 86400000 ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3"),
     ("row_number_in_window", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r FROM events GROUP BY TUMBLINGWINDOW(dd, 1)", "SELECT event_id, row_number() OVER (PARTITION BY epoch_ms(ts) // 86400000, event_type ORDER BY value, event_id) AS r FROM events"),
     # --- windows

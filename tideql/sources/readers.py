@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conversions import packers
 from ..sql import tree as t
+from . import services
 
 #: Connectors for services that this library has no client for; ``register_source`` puts one in their place.
-EXTERNAL = {"mqtt", "httppush", "websocket", "neuron", "edgex", "redissub", "zmq"}
+EXTERNAL = {"httppush", "websocket", "neuron", "edgex", "zmq"}
 _CUSTOM: dict[str, Callable[[SparkSession, t.Definition, bool], DataFrame]] = {}
 
 
@@ -98,7 +100,7 @@ def validated(df: DataFrame, d: t.Definition) -> DataFrame:
 
 
 def timed(df: DataFrame, column: str | None, form: str | None = None) -> DataFrame:
-    """``_ts``, the event time, from milliseconds, a text or a timestamp; ``_o``, an order of arrival that is the same on every run."""
+    """``_ts``, the event time, from milliseconds, a text or a timestamp."""
     if column is None:
         return df
     kind = df.schema[column].dataType
@@ -109,8 +111,31 @@ def timed(df: DataFrame, column: str | None, form: str | None = None) -> DataFra
         time = F.to_timestamp(c, form) if form else c.cast("timestamp")
     else:
         time = c.cast("timestamp")
+    return df.withColumn("_ts", time)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``_o``, an order of arrival among rows of one time that is the same on every run; only rules that depend on it ask for it.
+
+    Rows of Parquet files are in the order of the files' rows, which reads no column; others are told apart by a hash
+    of what they hold.
+    """
+    if "_o" in df.columns or "_ts" not in df.columns:
+        return df
+    if not df.isStreaming and (place := _row_of_file(df)) is not None:
+        return df.withColumn("_o", place)
     plain = [x for x in df.columns if not x.startswith("_") and not isinstance(df.schema[x].dataType, (T.MapType, T.VariantType))]
-    return df.withColumn("_ts", time).withColumn("_o", F.xxhash64(*[F.col(f"`{x}`") for x in plain]))
+    return df.withColumn("_o", F.xxhash64(*[F.col(f"`{x}`") for x in plain]))
+
+
+def _row_of_file(df: DataFrame) -> Column | None:
+    """A row's place in its Parquet file, after the file's hash, as one number; None where rows are of no file."""
+    place = F.shiftleft(F.pmod(F.hash("_metadata.file_path"), F.lit(1 << 22)).cast("long"), 40) + F.col("_metadata.row_index")
+    try:
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
 
 
 def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataFrame:
@@ -122,14 +147,20 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
     elif kind == "memory":
         df = memory(spark, d.options["DATASOURCE"])
     elif kind == "sql":
-        df = database(spark, d.options["DATASOURCE"], json.loads(d.options.get("EXTRA", "{}")))
+        df = database(spark, d.options["DATASOURCE"], _extra(d))
     elif kind == "video":  # frames that a grabber has left as files
         df = (spark.readStream if streaming else spark.read).format("binaryFile").load(d.options["DATASOURCE"]).select(F.col("content").alias("self"), F.col("path").alias("file"), F.unix_millis("modificationTime").alias("time"))
     elif kind == "httppull":
         df = httppull(spark, [u.strip() for u in d.options["DATASOURCE"].split(",")], schema_of(d))
     elif kind == "kafka":
-        reader = (spark.readStream if streaming else spark.read).format("kafka").option("subscribe", d.options["DATASOURCE"])
-        df = decode(reader.load().selectExpr("cast(value as string) as value"), "value", "json", schema_of(d).simpleString(), merge=False)
+        more = _extra(d)
+        reader = (spark.readStream if streaming else spark.read).format("kafka").option("subscribe", d.options["DATASOURCE"]).option("kafka.bootstrap.servers", more.get("brokers", "localhost:9092"))
+        df = payloads(reader.load().select(F.col("value").alias("payload"), "topic"), d)
+    elif kind in ("mqtt", "redissub"):
+        more = _extra(d)
+        if "server" not in more:
+            raise SourceProblem(f"{kind} needs a server in EXTRA; register_source({kind!r}, ...) puts another client in its place")
+        df = payloads(services.messages(spark, "mqtt" if kind == "mqtt" else "redis", more.pop("server"), d.options["DATASOURCE"], more, streaming), d)
     elif kind in EXTERNAL:
         raise SourceProblem(f"no client for {kind}; register_source({kind!r}, ...) adds one")
     else:
@@ -137,6 +168,20 @@ def read(spark: SparkSession, d: t.Definition, streaming: bool = False) -> DataF
     return timed(validated(df, d), d.options.get("TIMESTAMP"), d.options.get("TIMESTAMP_FORMAT"))
 
 
+def _extra(d: t.Definition) -> dict:
+    """EXTRA's JSON, whose quotes may stand escaped."""
+    text = d.options.get("EXTRA", "{}")
+    return json.loads(text if '\\"' not in text else text.replace('\\"', '"'))
+
+
+def payloads(df: DataFrame, d: t.Definition) -> DataFrame:
+    """Messages as rows: the declared columns of a JSON or delimited payload; without declared columns the payload's text beside its topic."""
+    schema = schema_of(d)
+    if schema is None:
+        return df.withColumn("payload", F.col("payload").cast("string"))
+    return decode(df.select("payload"), "payload", {"csv": "delimited"}.get(k := d.options.get("FORMAT", "json").lower(), k), schema.simpleString(), merge=False)
+
+
 def database(spark: SparkSession, url: str, options: dict) -> DataFrame:
     """A table or query over JDBC; with ``column``, ``lower``, ``upper`` and ``parts`` read side by side, with ``after`` only newer rows of ``index``."""
     reader = spark.read.format("jdbc").option("url", url)
@@ -200,10 +245,11 @@ def memory(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def retained(df: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` rows of a scan table."""
+    """The last ``n`` rows of a scan table: by time; without one by their places in Parquet files, or in the order in which they are read."""
     if "_ts" not in df.columns:
-        return df.limit(n)
-    return df.orderBy(F.desc("_ts"), F.desc("_o")).limit(n)
+        place = _row_of_file(df)
+        return df.withColumn("_o", F.monotonically_increasing_id() if place is None else place).orderBy(F.desc("_o")).limit(n).drop("_o")
+    return placed(df).orderBy(F.desc("_ts"), F.desc("_o")).limit(n)
 
 
 # --- generators

@@ -6,14 +6,22 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.conversions import packers
+from . import services
 from .readers import publish
 
 _CUSTOM: dict[str, Callable[[DataFrame, dict], None]] = {}
-EXTERNAL = {"mqtt", "websocket", "sse", "neuron", "edgex", "redis", "redispub", "kafka", "influx", "influx2", "tdengine3", "image", "zmq"}
+EXTERNAL = {"websocket", "sse", "neuron", "edgex", "image", "zmq"}
+
+
+#: Rows of a message where sendSingle is false and no batchSize is given.
+MESSAGE = 1000
 
 
 class SinkProblem(ValueError):
@@ -38,15 +46,32 @@ def transformed(df: DataFrame, options: dict) -> DataFrame:
     if text := options.get("dataTemplate"):
         return df.select(template(df, text).alias("value"))
     if options.get("sendSingle") is False:
-        rows = df.select(F.struct(*df.columns).alias("r"))
-        size = options.get("batchSize")
-        if not size:
-            return rows.agg(F.collect_list("r").alias("rows"))
-        numbered = rows.withColumn("b", F.floor(F.monotonically_increasing_id() / size))
-        return numbered.groupBy("b").agg(F.collect_list("r").alias("rows")).drop("b")
+        return batches(df, int(options.get("batchSize", MESSAGE)))
     return df
 
 
+def batches(df: DataFrame, size: int) -> DataFrame:
+    """``rows``: up to ``size`` rows each; only each task's last may have fewer."""
+    schema = T.StructType([T.StructField("rows", T.ArrayType(df.schema))])
+
+    def run(found):
+        waiting: list = []
+        for batch in found:
+            waiting += pa.Table.from_batches([batch]).to_pylist()
+            full = len(waiting) - len(waiting) % size
+            if full:
+                yield out([waiting[i : i + size] for i in range(0, full, size)])
+                del waiting[:full]
+        if waiting:
+            yield out([waiting])
+
+    def out(lists):
+        return pa.RecordBatch.from_arrays([pa.array(lists, kind)], ["rows"])
+
+    kind = pa.list_(pa.struct(list(to_arrow_schema(df.schema))))
+    return df.mapInArrow(run, schema)
+
+
 def template(df: DataFrame, text: str):
     """Text with ``{{.name}}`` and ``{{.a.b}}`` replaced by values, ``{{json .}}`` by the row as JSON."""
     out, at = [], 0
@@ -73,7 +98,7 @@ def encoded(df: DataFrame, options: dict) -> DataFrame:
 
         value = F.pandas_udf(pack, "binary")(value)
     if key := options.get("encryptionKey"):
-        value = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"))
+        value = F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit(options.get("encryptionMode", "GCM").upper()))
     return df.select(value.alias("value"))
 
 
@@ -117,9 +142,16 @@ def write(df: DataFrame, kind: str, options: dict | None = None) -> None:
     if kind == "memory":
         publish(options["topic"], transformed(df, options))
         return
-    df = transformed(df, options)
+    own = kind in ("influx", "influx2", "tdengine3", "sql")  # their fields are what they write, of the columns that they use
+    df = transformed(df, {k: v for k, v in options.items() if not (own and k == "fields")})
+    sent = {"mqtt": services.mqtt, "redis": services.redis, "redispub": services.redis_pub, "kafka": services.kafka, "tdengine3": services.tdengine, "influx": lambda d, o: services.influx(d, o, 1), "influx2": lambda d, o: services.influx(d, o, 2)}
     if kind in _CUSTOM:
         _CUSTOM[kind](df, options)
+    elif kind in sent:
+        try:
+            sent[kind](df, options)
+        except KeyError as e:
+            raise SinkProblem(f"{kind} needs {e}") from e
     elif kind == "rest":
         rest(df, options)
     elif kind == "nop":
@@ -137,7 +169,11 @@ def write(df: DataFrame, kind: str, options: dict | None = None) -> None:
             encoded(df, {k: v for k, v in options.items() if k != "compression"}).write.mode(options.get("mode", "append")).text(options["path"])
         else:
             getattr(writer.option("header", options.get("hasHeader", True)) if form == "csv" else writer, form)(options["path"])
+    elif kind == "sql" and "module" in options:
+        services.database(df, options)
     elif kind == "sql":
+        if options.get("rowkindField"):
+            raise SinkProblem("rowkindField needs module and connect, a Python database client")
         df.write.jdbc(options["url"], options["table"], mode="append", properties=options.get("properties"))
     elif kind in EXTERNAL:
         raise SinkProblem(f"no client for {kind}; register_sink({kind!r}, ...) adds one")

@@ -18,7 +18,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 NAMES = ["filter_cmp", "group_by_lineitem", "tumbling_count", "hopping", "sliding", "session_gap", "count_tumbling", "state_single", "join_inner", "join_windowed", "join_multi", "agg_median", "limit_per_window", "lag", "lag_partition_when", "acc_functions", "deduplicate_count", "fn_string", "fn_math", "graph_pipeline"]
-RULES = 300
+RULES = 100
 
 
 def shared_source(e, rules: int) -> float:

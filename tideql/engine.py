@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +20,10 @@ from .sql import tree as t
 from .sql.parser import parse
 
 
+#: Rules of a shared read whose jobs are given to Spark at once.
+SIDE_BY_SIDE = 8
+
+
 def session(name: str = "tideql", **conf: str) -> SparkSession:
     """A session with the settings that rules rely on; the cluster's own stay."""
     builder = SparkSession.builder.appName(name)
@@ -203,13 +208,17 @@ class Engine:
 
         def each(batch: DataFrame, _: int) -> None:
             batch = batch.persist()
-            for r in rules:
+
+            def one(r: Rule) -> None:
                 other = Engine(self.spark, self.properties | r.options)
                 other.definitions, other.frames, other.lazy = self.definitions, self.frames | {source.lower(): (kind, batch)}, self.lazy
                 out = other.planner(r.id).plan(parse(r.sql))
                 for action in r.actions:
                     for how, options in action.items():
                         sinks.write(out, how, options)
+
+            with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # one rule's last tasks leave cores to the next
+                list(pool.map(one, rules))
             batch.unpersist()
 
         writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

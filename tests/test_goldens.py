@@ -6,6 +6,7 @@ from tideql.engine import Engine
 from tideql.plans.frame import PlanProblem
 from tideql.sql.parser import SyntaxProblem, parse
 
+#: The rows of the streams, and the results that are expected of them below.
 T0 = 1541152486000
 DEMO = [("red", 3, 13), ("blue", 6, 822), ("blue", 2, 1632), ("yellow", 4, 2442), ("red", 1, 3252)]
 #: As an event-time stream gives them: the late row is gone, the last row lifts the watermark.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window
 
 from ..graph import build
@@ -12,6 +11,8 @@ from ..operators.dedup_trigger import uncovered
 from ..sources import readers, sinks
 from .base import engine
 
+# The names of graph rules in JSON (nodes, topo, edges, nodeType, props and those of the operators).
+
 QUERIES, ORACLE_SQL = {}, {}
 
 

@@ -26,7 +26,7 @@ from . import text as T
 
 MARK = "▁"
 #: Bytes of text that share a table, or one longer text.
-PART = 8 << 20
+PART = T.BATCH
 
 
 def model_file(path: str | None) -> str:
@@ -88,17 +88,19 @@ def _joined(texts: pa.Array, chunks: Chunks, eos: bool, decode: bool) -> list[pa
     words, at = chunks.split(texts)
     table = words.dictionary_encode()
     found = chunks.encode(table.dictionary.to_pylist())
-    place = np.asarray(table.indices).astype(np.int64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    place = np.asarray(table.indices)
+    sizes = np.fromiter(map(len, found), np.int32, len(found))
     if eos:  # the end is one more word of each text
         place = np.insert(place, at[1:], len(found))
-        sizes = np.append(sizes, 1)
+        sizes = np.append(sizes, np.int32(1))
     flat = np.fromiter(chain(chain.from_iterable(found), [chunks.sp.eos_id()] * eos), np.int32, int(sizes.sum()))
-    n, start = sizes[place], np.cumsum(sizes) - sizes
-    upto = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.repeat(start[place] - upto[:-1], n) + np.arange(upto[-1])]
+    n, start = sizes[place], np.cumsum(sizes, dtype=np.int32) - sizes
+    upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)))  # an Arrow list has no more either
+    take = np.repeat(start[place] - upto[:-1], n)
+    take += np.arange(upto[-1], dtype=np.int32)
+    ids = flat[take]
     of = at + np.arange(len(at)) * eos
-    out = [pa.ListArray.from_arrays(pa.array(upto[of].astype(np.int32)), pa.array(ids))]
+    out = [pa.ListArray.from_arrays(pa.array(upto[of]), pa.array(ids))]
     if decode:
         said = pa.array(chunks.sp.decode(found, num_threads=1) if found else [], pa.string()).take(table.indices)
         out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), said), " "))

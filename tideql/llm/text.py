@@ -13,7 +13,10 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, of the documents that a kernel works on at once, and of a piece of these.
+BATCH, _LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 GROUP = 1 << 20
 SLICE = 1 << 19
 
@@ -53,7 +56,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def freed(run: Callable) -> Callable:
-    """``run`` over a task's batches; at its end the worker, which later stages use again, hands unused memory back to the system."""
+    """``run`` over a task's batches; at its end the worker, which later stages use again, hands unused memory back to the system.
+
+    A batch is held by the JVM and, in several forms, by the worker, so the session's limit of its bytes is lowered to ``BATCH``.
+    """
+    spark = SparkSession.getActiveSession()
+    now = spark.conf.get(_LIMIT).removesuffix("b") if spark else ""
+    if now.isdigit() and int(now) > BATCH:
+        spark.conf.set(_LIMIT, BATCH)
 
     @wraps(run)
     def wrapped(batches):

@@ -40,3 +40,43 @@ def test_dedup_trigger_sends_a_long_request_to_few_buckets(spark):
     # Without keys, and with requests that are much longer than a bucket: runs of buckets in place of each.
     far = spark.createDataFrame([(0, 10**9, 1), (5, 10**9, 2), (-7, 10**9 + 3, 3)], "s bigint, e bigint, i bigint")
     assert {x.i: [tuple(p) for p in x.parts] for x in uncovered(far, "s", "e", bucket=10**6).collect()} == {1: [(0, 10**9)], 3: [(-7, 0), (10**9, 10**9 + 3)]}
+
+
+ROWS = [("a", "signup", 1.0, 0), ("b", "view", 2.0, 0), ("c", "signup", 3.0, 5), ("d", "view", 4.0, 5), ("e", "signup", 5.0, 5), ("f", "error", 6.0, 9), ("g", "view", 7.0, 9), ("h", "signup", 8.0, 12), ("i", "view", 9.0, 12)]
+
+
+def ties(spark, tmp_path):
+    """Rows of which some have one time, as a Parquet file, whose order is that of arrival."""
+    from tideql.engine import Engine
+
+    spark.createDataFrame([(n, k, v, t) for n, k, v, t in ROWS], "name string, kind string, v double, t bigint").coalesce(1).write.parquet(str(tmp_path / "ties"))
+    e = Engine(spark)
+    e.attach("s", lambda: spark.read.parquet(str(tmp_path / "ties")), "t", "stream")
+    return e
+
+
+def test_downsampling_takes_the_first_of_one_time(spark, tmp_path):
+    from tideql.operators import sampling
+
+    _, df = ties(spark, tmp_path).source("s")
+    assert sorted((r.interval_end, r.name) for r in sampling.latest(df, 10).collect()) == [(10, "f"), (20, "h")]
+    got = {r.interval_end: [(f["kind"], f["name"]) for f in r.frames] for r in sampling.merged(df, 10, "kind").collect()}
+    assert got == {10: [("error", "f"), ("signup", "c"), ("view", "g")], 20: [("signup", "h"), ("view", "i")]}
+
+
+def test_rows_of_one_time_are_one_step_of_begin_and_reset(spark, tmp_path):
+    got = {r.name: r.n for r in ties(spark, tmp_path).sql("SELECT name, acc_count(v, kind = 'signup', kind = 'error') AS n FROM s").collect()}
+    assert got == {"a": 2, "b": 2, "c": 5, "d": 5, "e": 5, "f": 6, "g": 0, "h": 2, "i": 2}
+
+
+def test_rows_of_one_time_are_in_one_state_window(spark, tmp_path):
+    e = ties(spark, tmp_path)
+    assert sorted((r.c, r.a, r.z) for r in e.sql("SELECT count(*) AS c, min(name) AS a, max(name) AS z FROM s GROUP BY STATEWINDOW(kind = 'signup')").collect()) == [(2, "a", "b"), (5, "c", "g")]
+
+
+def test_deduplicate_last_takes_the_first_of_one_time(spark, tmp_path):
+    e = ties(spark, tmp_path)
+    got = e.sql("SELECT window_end() AS e, deduplicate(kind, false)->name AS n FROM s GROUP BY TUMBLINGWINDOW(ms, 10)").collect()
+    assert sorted((r.e, r.n) for r in got) == [(10, "f"), (20, "h")]
+    got = e.sql("SELECT window_end() AS e, deduplicate(kind, true) AS n FROM s GROUP BY TUMBLINGWINDOW(ms, 10)").collect()
+    assert sorted((r.e, [x["name"] for x in r.n]) for r in got) == [(10, ["a", "b", "f"]), (20, ["h", "i"])]

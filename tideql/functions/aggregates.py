@@ -64,13 +64,17 @@ def last_value(call, x, ignore=None):
 
 @aggregate("deduplicate")
 def deduplicate(call, row, key, whole=None):
-    """The first row of each key; or, without ``whole``, the last row if its key is new, else null."""
-    rows = F.array_sort(F.collect_list(F.struct(call.time.alias("t"), key.cast("string").alias("k"), row.alias("r"))))
+    """The first row of each key; or, without ``whole``, the last row if its key is new, else null.  Of rows of one time the first that arrived is taken."""
+    key, places = key.cast("string"), [] if call.place is None else [call.place]
     if call.values[-1]:
-        kept = F.filter(rows, lambda e, i: (i == 0) | ~F.coalesce(F.array_contains(F.transform(F.slice(rows, 1, i), lambda p: p["k"]), e["k"]), F.lit(False)))
+        rows = F.array_sort(F.collect_list(F.struct(F.struct(key.alias("k")).alias("k"), call.time.alias("t"), *[p.alias("o") for p in places], row.alias("r"))))
+        # The sorted rows are a lambda's argument, or they would be sorted again for each of them.
+        once = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
+        kept = once(rows, lambda a: F.filter(a, lambda e, i: (i == 0) | ~e["k"]["k"].eqNullSafe(F.get(a, i - 1)["k"]["k"])))
+        kept = F.array_sort(F.transform(kept, lambda e: F.struct(e["t"], *[e["o"] for _ in places], e["k"]["k"], e["r"].alias("r"))))
         return F.transform(kept, lambda e: e["r"])
-    last = F.element_at(rows, -1)
-    return F.when(F.size(F.filter(rows, lambda e: e["k"].eqNullSafe(last["k"]))) == 1, last["r"])
+    last = F.max_by(F.struct(key.alias("k"), row.alias("r")), F.struct(call.time, *[-p for p in places]))
+    return F.when(F.size(F.filter(F.collect_list(F.struct(key.alias("k"))), lambda e: e["k"].eqNullSafe(last["k"]))) == 1, last["r"])
 
 
 @aggregate("percentile_cont")

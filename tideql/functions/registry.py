@@ -26,6 +26,7 @@ class Call:
     window: Column | None = None  # struct of start, end
     meta: Column | None = None
     properties: dict = field(default_factory=dict)
+    place: Column | None = None  # the row's place among those of one time
 
     def is_text(self, c: Column) -> bool:
         return isinstance(self.type_of(c), T.StringType)

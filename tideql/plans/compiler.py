@@ -162,7 +162,7 @@ class Compiler:
         return F.slice(a, start + 1, F.greatest(F.lit(0), stop - start))
 
     def _call(self, node: t.Call) -> Column:
-        call = Call(node.name, [a.value if isinstance(a, t.Lit) else None for a in node.args], self.type_of, self.frame.time, self.frame.window if not (self.grouped and "_window" in self.properties) else self.properties["_window"], F.col("_meta") if "_meta" in self.frame.df.columns else None, self.properties)
+        call = Call(node.name, [a.value if isinstance(a, t.Lit) else None for a in node.args], self.type_of, self.frame.time, self.frame.window if not (self.grouped and "_window" in self.properties) else self.properties["_window"], F.col("_meta") if "_meta" in self.frame.df.columns else None, self.properties, F.col("_o") if "_o" in self.frame.df.columns else None)
         if node.name in AGGREGATES:
             if not self.grouped:
                 raise PlanProblem(f"{node.name}() stands outside of an aggregation")

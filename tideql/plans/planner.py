@@ -39,7 +39,7 @@ class Planner:
     def plan(self, q: t.Select) -> DataFrame:
         q = self._check(q)
         calls = {n.name for n in q.walk() if isinstance(n, t.Call)}
-        self.ordered = bool(calls & (ANALYTIC | _HITS | {"changed_cols"})) or q.limit is not None or (q.window is not None and q.window.kind in ("count", "sliding", "state"))
+        self.ordered = bool(calls & (ANALYTIC | _HITS | {"changed_cols", "deduplicate"})) or q.limit is not None or (q.window is not None and q.window.kind in ("count", "sliding", "state"))
         kind, df = self.source(q.source)
         frame = self._frame(df, q.alias, bool(q.joins))
         q, frame = self._analytic(q, frame)

@@ -80,3 +80,28 @@ def test_deduplicate_last_takes_the_first_of_one_time(spark, tmp_path):
     assert sorted((r.e, r.n) for r in got) == [(10, "f"), (20, "h")]
     got = e.sql("SELECT window_end() AS e, deduplicate(kind, true) AS n FROM s GROUP BY TUMBLINGWINDOW(ms, 10)").collect()
     assert sorted((r.e, [x["name"] for x in r.n]) for r in got) == [(10, ["a", "b", "f"]), (20, ["h", "i"])]
+
+
+SLIDING = [
+    "SELECT window_end() AS e, count(*) AS c, count(v) AS k, sum(v) AS s, min(v) AS lo, max(name) AS hi, avg(n) AS a, avg(v) AS b, sum(n) AS w FROM s GROUP BY SLIDINGWINDOW(ms, 20{})",
+    "SELECT window_start() AS a, sum(v) FILTER(WHERE n > 2) AS s, count(*) AS c, c + 1 AS d FROM s WHERE kind = 'x' GROUP BY SLIDINGWINDOW(ms, 7{}) FILTER(WHERE n > 0) OVER(WHEN v > 3) HAVING c > 1",
+]
+
+
+def test_sliding_totals_have_no_row_for_each_row_of_a_window(spark):
+    from tideql.engine import Engine
+
+    r = random.Random(3)
+    rows = [(f"n{i}", r.choice("xy"), r.choice([None, *map(float, range(9))]), r.randrange(5), r.randrange(-60, 240)) for i in range(300)]
+    e = Engine(spark)
+    e.register("s", spark.createDataFrame(rows, "name string, kind string, v double, n bigint, t bigint"), "t")
+    for text in SLIDING:
+        for delay in ("", ", 5", ", 13"):
+            text_ = text.format(delay)
+            fast = e.sql(text_)
+            assert "Generate" not in plan(fast)
+            # With a collected value the rows of each window are there themselves.
+            slow = e.sql(text_.replace(" FROM s", ", collect(v) AS all_ FROM s")).drop("all_")
+            assert fast.columns == slow.columns and fast.schema.simpleString() == slow.schema.simpleString()
+            plain = lambda df: sorted((tuple(x) for x in df.collect()), key=repr)
+            assert plain(fast) == plain(slow)

@@ -48,6 +48,8 @@ class Planner:
         if q.window:
             if any(isinstance(n, t.Call) and n.name in _HITS for n in q.window.walk()):
                 raise PlanProblem("hit functions stand in WHERE or HAVING")
+            if (totals := self._sliding_totals(q, frame, names)) is not None:
+                return totals
             frame, others = self._windows(q, frame, names)
         return self._finished(q, frame, names, others)
 
@@ -215,6 +217,52 @@ class Planner:
             df = windows.states(df, comp.condition(w.args[0]), comp.condition(w.args[1]) if len(w.args) > 1 else None, keys, order)
         return frame.with_df(df)
 
+    def _sliding_totals(self, q: t.Select, frame: Frame, names) -> DataFrame | None:
+        """A rule that wants only totals of each sliding window, without a row for each of a window's rows; None for other rules."""
+        w = q.window
+        if w.kind != "sliding" or q.joins or q.dims or w.partition or q.limit is not None or frame.time is None or frame.df.isStreaming:
+            return None
+        rows = [n for c in (q.where, *(a for f in q.items for a in f.expr.walk() if isinstance(a, t.Call) and a.name in AGGREGATES)) if c is not None for n in c.walk() if isinstance(n, t.Call)]
+        calls = list(dict.fromkeys(n for n in q.walk() if isinstance(n, t.Call) and n.name in AGGREGATES))
+        kinds = {c.name.removeprefix("inc_") for c in calls}
+        if not calls or not kinds <= {"count", "sum", "avg", "min", "max"} or (q.where is not None and is_aggregate(q.where)) or any(n not in calls and not n.args for n in rows):
+            return None
+        if any(isinstance(n, t.Call) and (n.name in SETS or n.name in ANALYTIC or n.name in _HITS) for n in q.walk()):
+            return None
+        put = {c: t.Name(f"_g{i}") for i, c in enumerate(calls)}
+        late = lambda e: t.rewrite(e, lambda n: put.get(n, n) if isinstance(n, t.Call) else n)
+        rest = [late(e) for e in (*(f.expr for f in q.items), *(s.key for s in q.order), *([] if q.having is None else [q.having]))]
+        if any(isinstance(n, t.Star) or isinstance(n, t.Name) and n not in put.values() and (n.source is not None or n.name.lower() not in names) for e in rest for n in e.walk()):
+            return None
+        inner, totals, results = Compiler(frame, names, self.properties), {}, []
+        for i, c in enumerate(calls):
+            kind, star = c.name.removeprefix("inc_"), not c.args or isinstance(c.args[0], t.Star)
+            if star and kind != "count":
+                return None
+            x = F.lit(1) if star else inner.column(c.args[0])
+            type_ = inner.type_of(x)
+            if kind in ("sum", "avg") and not isinstance(type_, (T.IntegralType, T.FloatType, T.DoubleType)):
+                return None
+            if c.where is not None:
+                x = F.when(inner.condition(c.where), x)
+            if c.name in ("inc_sum", "inc_avg"):
+                x, type_ = x.cast("double"), T.DoubleType()
+            if kind in ("count", "avg"):
+                totals[f"_n{i}"] = ("sum", F.when(x.isNotNull(), 1).otherwise(0).cast("bigint"))
+            if kind != "count":
+                totals[f"_s{i}"] = ("sum" if kind == "avg" else kind, x.cast("double") if kind == "avg" and not isinstance(type_, T.IntegralType) else x)
+            mean = F.try_divide(F.col(f"_s{i}"), F.col(f"_n{i}"))
+            results.append({"count": F.col(f"_n{i}"), "avg": mean.cast("bigint") if isinstance(type_, T.IntegralType) else mean}.get(kind, F.col(f"_s{i}")).alias(f"_g{i}"))
+        n, df = [a.value * unit_ms(w.unit) for a in w.args], frame.df
+        if w.where is not None:
+            df = df.filter(inner.condition(w.where))
+        kept = None if q.where is None else inner.all(conjuncts(q.where))
+        found = windows.sliding_totals(df, n[0], n[1] if len(n) > 1 else 0, None if w.when is None else inner.condition(w.when), kept, totals).select(WINDOW, *results)
+        items = tuple(replace(f, expr=late(f.expr), alias=self._label(f, i)) for i, f in enumerate(q.items))
+        q = replace(q, items=items, where=None, having=None if q.having is None else late(q.having), order=tuple(replace(s, key=late(s.key)) for s in q.order))
+        known = {k: late(e) for k, e in names.items()}
+        return self._rows(q, Frame(found, tuple(("", c.name, c.name) for c in put.values())), lambda fr, **kw: Compiler(fr, known, self.properties, **kw), known)
+
     def _windows(self, q: t.Select, frame: Frame, names) -> tuple[Frame, dict[str, Frame]]:
         """The first stream with its windows, and joined streams by alias with the same ones.
 

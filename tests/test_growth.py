@@ -105,3 +105,23 @@ def test_sliding_totals_have_no_row_for_each_row_of_a_window(spark):
             assert fast.columns == slow.columns and fast.schema.simpleString() == slow.schema.simpleString()
             plain = lambda df: sorted((tuple(x) for x in df.collect()), key=repr)
             assert plain(fast) == plain(slow)
+
+
+def test_hits_sort_blocks_of_named_columns_in_one_task(spark, tmp_path, monkeypatch):
+    from tideql.engine import Engine
+    from tideql.operators import hits
+
+    monkeypatch.setattr(hits, "BLOCK", 7)
+    r = random.Random(5)
+    rows = [(i, "x" * 50, r.randrange(900)) for i in range(400)]
+    spark.createDataFrame(rows, "i bigint, wide string, t bigint").coalesce(1).write.parquet(str(tmp_path / "hits"))
+    e = Engine(spark)
+    e.attach("s", lambda: spark.read.parquet(str(tmp_path / "hits")), "t", "stream")
+    df = e.sql("SELECT i FROM s WHERE event_time() - last_hit_time() > 30 AND last_hit_count() < 12")
+    want, at = [], 0
+    for i, _, t in sorted(rows, key=lambda x: (x[2], x[0])):
+        if t - at > 30 and len(want) < 12:
+            want.append(i)
+            at = t
+    assert [x.i for x in df.collect()] == want
+    assert "rangepartitioning" in plan(df) and "wide" not in df._jdf.queryExecution().executedPlan().toString()

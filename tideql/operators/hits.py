@@ -2,8 +2,9 @@
 
 Whether a row passes depends on the rows that passed before it, so the clause is
 run in order, as a fold over the few values it needs; all else stays in the plan.
-The rows are sorted by Spark, which spills, and pass through one task a batch at a
-time; the fold keeps a count and a time, and no group is gathered.
+The rows are sorted in ranges, by many tasks, and packed: a compressed block for each batch
+of rows.  Only the blocks are put in order by the one task of the fold, which unpacks one
+at a time and keeps a count and a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from ..plans.frame import PlanProblem
 from ..sql import tree as t
 
+#: Rows of a block.
+BLOCK = 50_000
 _COMPARE: dict[str, Callable[[Any, Any], Any]] = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b,
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -64,8 +67,27 @@ def fold(df: DataFrame, clause: t.Node, order: list[str], parts: list[str]) -> D
             more = [pa.array([s[i] for s in seen], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*kept.schema.names, "_hits", "_hit_time"])
 
+    def pack(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                some, sink = batch.slice(at, BLOCK), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=options) as out:
+                    out.write_batch(some)
+                first = [some.column(some.schema.get_field_index(c)).slice(0, 1) for c in order]
+                yield pa.RecordBatch.from_arrays([*first, pa.array([sink.getvalue().to_pybytes()], pa.binary())], [*order, "_block"])
+
+    def unpack(batches):
+        for batch in batches:
+            for block in batch.column(len(order)):
+                yield from pa.ipc.open_stream(block.as_py())
+
     schema = T.StructType([*df.schema.fields, T.StructField("_hits", T.LongType()), T.StructField("_hit_time", T.LongType())])
-    return df.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema)
+    blocks = T.StructType([*[df.schema[c] for c in order], T.StructField("_block", T.BinaryType())])
+    # Rows that are equal in their order are in one range, but may be in two blocks of it: these go by number.
+    packed = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, blocks)
+    packed = packed.withColumn("_part", F.monotonically_increasing_id())
+    return packed.repartition(1).sortWithinPartitions(*order, "_part").drop("_part").mapInArrow(lambda b: run(unpack(b)), schema)
 
 
 def _split(clause: t.Node, column: Callable[[t.Node], Any]):
@@ -89,13 +111,15 @@ def _split(clause: t.Node, column: Callable[[t.Node], Any]):
     return visit(clause), parts
 
 
-def filtered(frame, clauses: list[t.Node], make):
-    """The rows of a frame that pass clauses with last_hit_*."""
+def filtered(frame, clauses: list[t.Node], make, needed: set[str] | None = None):
+    """The rows of a frame that pass clauses with last_hit_*; with ``needed`` only those columns go along."""
     clause = clauses[0]
     for c in clauses[1:]:
         clause = t.Op("and", clause, c)
     tree, parts = _split(clause, make(frame).column)
     rows = frame.df.withColumns({"_t": F.unix_millis("_ts"), **parts})
+    if needed is not None:
+        rows = rows.select(*[c for c in rows.columns if c in needed or c.startswith("_") or c in parts])
     return frame.with_df(fold(rows, tree, ["_t", "_o"], list(parts)).drop("_t", *parts))
 
 

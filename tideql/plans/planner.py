@@ -326,7 +326,10 @@ class Planner:
         if plain:
             frame = frame.with_df(frame.df.filter(make(frame).all(plain)))
         if late:
-            frame = hits.filtered(frame, late, make)
+            # Only what the rule names goes through the one task; a * or a part of a structure may name anything.
+            named = None if any(isinstance(n, (t.Star, t.Part)) for n in q.walk()) else {n.name.lower() for n in q.walk() if isinstance(n, t.Name)}
+            needed = None if named is None else {c for _, n, c in frame.columns if n.lower() in named or n.startswith("_")}
+            frame = hits.filtered(frame, late, make, needed)
         return frame
 
     # --- results
